@@ -56,6 +56,12 @@ def plan_int(sev: str, idx: int) -> str:
     return f"CASE {parts} ELSE {fb} END"
 
 
+def plan_text_sql(sev: str, idx: int) -> str:
+    parts = " ".join(f"WHEN {sev} = {_q(r[0])} THEN {_q(r[idx])}" for r in K.RESOURCE_PLAN)
+    fb = [r for r in K.RESOURCE_PLAN if r[0] == K.PLAN_FALLBACK][0][idx]
+    return f"CASE {parts} ELSE {_q(fb)} END"
+
+
 INC = f"""
 inc AS (
   SELECT
@@ -177,3 +183,118 @@ BASE_TRAIN = with_ctes(INC, FILLED, TRAIN)
 BASE_FB = with_ctes(INC, FILLED, FB)
 BASE_REQ = with_ctes(INC, FILLED, REQ)
 BASE_ALL = with_ctes(INC, FILLED, SERVE, TRAIN, FB, REQ)
+
+
+# --- spatial dimensions ------------------------------------------------------
+def m(c: str) -> str:
+    """Mean summed as integer micro-degrees (exact, order-free)."""
+    return (f"CAST(sum(CAST(round({c} * 1000000.0::DOUBLE) AS BIGINT)) AS DOUBLE)"
+            f" / CAST(count({c}) AS DOUBLE) / 1000000.0::DOUBLE")
+
+
+WPTS = f"""
+wpts AS (
+  SELECT * FROM train
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+    AND latitude > 12.0 AND latitude < 14.0 AND longitude > 77.0 AND longitude < 78.5
+),
+sdim AS (
+  SELECT police_station AS name, {m('latitude')} AS lat, {m('longitude')} AS lng FROM wpts
+  WHERE police_station IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'default', 12.9716::DOUBLE, 77.5946::DOUBLE
+),
+jdim AS (
+  SELECT junction AS name, {m('latitude')} AS lat, {m('longitude')} AS lng FROM wpts
+  WHERE junction IS NOT NULL GROUP BY 1
+)"""
+
+
+def top_junctions_sql(key: str, name: str) -> str:
+    return f"""
+{name}_c AS (
+  SELECT {key}, junction, count(*) AS n FROM serve
+  WHERE junction IS NOT NULL AND {key} IS NOT NULL GROUP BY 1, 2
+),
+{name}_r AS (
+  SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY n DESC, junction) AS INTEGER) AS rank,
+         junction, n FROM {name}_c
+),
+{name} AS (
+  SELECT {key}, list(junction ORDER BY rank) AS arr FROM {name}_r WHERE rank <= 3 GROUP BY 1
+)"""
+
+
+SUGG = (top_junctions_sql("police_station", "tj_st") + "," + top_junctions_sql("corridor", "tj_co") + f""",
+sugg AS (
+  SELECT f.*, coalesce(s.arr, c.arr, {_list(K.FALLBACK_JUNCTIONS)}) AS suggested,
+         CASE WHEN s.arr IS NOT NULL THEN 'station' WHEN c.arr IS NOT NULL THEN 'corridor'
+              ELSE 'default' END AS junction_source
+  FROM fc f LEFT JOIN tj_st s ON s.police_station = f.police_station
+            LEFT JOIN tj_co c ON c.corridor = f.corridor
+)""")
+
+DUR = "date_diff('microsecond', start_datetime, closed_datetime) / 60000000.0::DOUBLE"
+
+
+def calibrate_sql(d: str, cause: str = "event_cause") -> str:
+    return (f"greatest(10.0::DOUBLE, round(CASE "
+            f"WHEN lower({cause}) = 'vehicle_breakdown' AND {d} > 180.0 THEN 45.0::DOUBLE + fmod({d}, 60.0::DOUBLE) "
+            f"WHEN lower({cause}) = 'accident' AND {d} > 240.0 THEN 60.0::DOUBLE + fmod({d}, 90.0::DOUBLE) "
+            f"ELSE {d} END, 1))")
+
+
+FC = f"""
+fc0 AS (
+  SELECT r.*, {severity_sql(score_sql(CAUSE_WEIGHT_CASE, peak=f"CAST(coalesce(hour IN {PEAK}, false) AS INTEGER)"))}
+           AS predicted_severity
+  FROM req r
+),
+durb AS (
+  SELECT event_cause, congestion_severity AS predicted_severity, avg({DUR}) AS base_d FROM train
+  WHERE closed_datetime IS NOT NULL AND {DUR} > 0 AND {DUR} < 2880 GROUP BY 1, 2
+),
+fc AS (
+  SELECT fc0.*, {calibrate_sql('coalesce(durb.base_d, 60.0::DOUBLE)', 'fc0.event_cause')} AS predicted_duration_minutes
+  FROM fc0 LEFT JOIN durb ON durb.event_cause = fc0.event_cause
+                         AND durb.predicted_severity = fc0.predicted_severity
+)"""
+
+
+def _angle(i: int) -> str:
+    return (f"({i}.0::DOUBLE * 3.141592653589793::DOUBLE + CAST(CAST('0x' || substr(md5(CAST(request_id AS VARCHAR) || '-{i}'), 1, 8) AS BIGINT) AS DOUBLE)"
+            f" / 4294967296.0::DOUBLE * 0.5::DOUBLE)") if i else (
+            f"(0.0::DOUBLE + CAST(CAST('0x' || substr(md5(CAST(request_id AS VARCHAR) || '-{i}'), 1, 8) AS BIGINT) AS DOUBLE)"
+            f" / 4294967296.0::DOUBLE * 0.5::DOUBLE)")
+
+
+def _point(i: int) -> str:
+    p = f"p{i + 1}"
+    dist = f"{K.OFFSET_BASE_DIST + i * K.OFFSET_STEP_DIST}::DOUBLE"
+    known = f"({p}j.lat IS NOT NULL AND {p}j.lng IS NOT NULL)"
+    return f"""
+    CASE WHEN {p}_name IS NULL THEN NULL WHEN {known} THEN {p}j.lat
+         ELSE latitude + {dist} * sin({_angle(i)}) END AS {p}_lat,
+    CASE WHEN {p}_name IS NULL THEN NULL WHEN {known} THEN {p}j.lng
+         ELSE longitude + {dist} * cos({_angle(i)}) END AS {p}_lng,
+    CASE WHEN {p}_name IS NULL THEN NULL
+         ELSE 'Diversion Point {i + 1} - Reroute target' ||
+              CASE WHEN {known} THEN ' (' || {p}_name || ' centroid)' ELSE ' (Estimated offset)' END END AS {p}_role"""
+
+
+BP = f"""
+bp0 AS (SELECT *, suggested[1] AS p1_name, suggested[2] AS p2_name FROM sugg),
+bp AS (
+  SELECT bp0.*,
+    CAST({plan_int('predicted_severity', 1)} AS INTEGER) AS officers,
+    CAST({plan_int('predicted_severity', 2)} AS INTEGER) AS barricades,
+    CASE predicted_severity WHEN 'Low' THEN false ELSE true END AS diversion_required,
+    {plan_text_sql('predicted_severity', 4)} AS barricade_description,
+    {plan_text_sql('predicted_severity', 5)} AS diversion_description,
+    'EVT-' || CAST(CAST('0x' || substr(md5(CAST(request_id AS VARCHAR)), 1, 8) AS BIGINT) % 90000 + 10000 AS VARCHAR)
+      AS event_id,{_point(0)},{_point(1)}
+  FROM bp0 LEFT JOIN jdim p1j ON p1j.name = bp0.p1_name LEFT JOIN jdim p2j ON p2j.name = bp0.p2_name
+)"""
+
+
+BASE_GEO = with_ctes(INC, FILLED, SERVE, TRAIN, WPTS)
+BASE_BP = with_ctes(INC, FILLED, SERVE, TRAIN, REQ, WPTS, FC, SUGG, BP)
