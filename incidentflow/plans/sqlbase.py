@@ -298,3 +298,56 @@ bp AS (
 
 BASE_GEO = with_ctes(INC, FILLED, SERVE, TRAIN, WPTS)
 BASE_BP = with_ctes(INC, FILLED, SERVE, TRAIN, REQ, WPTS, FC, SUGG, BP)
+
+
+def title_sql(c: str, all_underscores: bool = True) -> str:
+    """Word-start upper-casing for lower-case words separated by spaces (oracle side)."""
+    src = f"replace({c}, '_', ' ')" if all_underscores else f"regexp_replace({c}, '^([^_]*)_', '\\1 ')"
+    return f"array_to_string(list_transform(string_split({src}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+ATTR = f"""
+a0 AS (
+  SELECT seq, event_cause, hour, requires_road_closure, priority, corridor,
+         predicted_duration AS dur, CAST({DISPLAY_WEIGHT_CASE} AS DOUBLE) AS b,
+         coalesce(hour IN {PEAK}, false) AS pk, coalesce(requires_road_closure, false) AS cl,
+         priority = 'High' AS hi, corridor <> 'Non-corridor' AS co
+  FROM fb WHERE hour IS NOT NULL
+),
+a1 AS (
+  SELECT *, b AS a_cause,
+         CASE WHEN pk THEN b * 0.25::DOUBLE ELSE 0.0::DOUBLE END AS a_peak,
+         CASE WHEN cl THEN b * 0.5::DOUBLE ELSE 0.0::DOUBLE END AS a_closure,
+         CASE WHEN hi THEN b * 0.3::DOUBLE ELSE 0.0::DOUBLE END AS a_priority,
+         CASE WHEN co THEN b * 0.2::DOUBLE ELSE b * 0.05::DOUBLE END AS a_corridor
+  FROM a0
+),
+a2 AS (SELECT *, a_cause + a_peak + a_closure + a_priority + a_corridor AS tot FROM a1),
+a3 AS (
+  SELECT *, round(b / 10.0::DOUBLE, 1) AS c_val,
+         CASE WHEN hi THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS p_mult,
+         CASE WHEN cl THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS cl_mult,
+         CASE WHEN pk THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS peak_mult,
+         CASE WHEN co THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS corr_mult
+  FROM a2
+),
+a4 AS (SELECT *, c_val * p_mult * cl_mult * peak_mult * corr_mult AS display_score FROM a3),
+a5 AS (
+  SELECT *, CASE WHEN display_score >= 7.0 THEN 'Critical' WHEN display_score >= 5.0 THEN 'High'
+                 WHEN display_score >= 3.0 THEN 'Medium' ELSE 'Low' END AS display_severity
+  FROM a4
+)"""
+
+BASE_ATTR = with_ctes(INC, FILLED, FB, ATTR)
+
+TU = f"""
+tu AS (
+  SELECT false AS is_feedback, incident_id AS row_key, event_type, event_cause, police_station,
+         hour, congestion_severity, 1.0::DOUBLE AS weight FROM train
+  UNION ALL
+  SELECT true, seq, coalesce(event_type, 'unplanned'), coalesce(event_cause, 'others'),
+         coalesce(police_station, 'Unknown'), coalesce(hour, 12), actual_severity, 10.0::DOUBLE
+  FROM fb WHERE actual_severity IS NOT NULL
+)"""
+
+BASE_TU = with_ctes(INC, FILLED, TRAIN, FB, TU)
