@@ -351,3 +351,37 @@ tu AS (
 )"""
 
 BASE_TU = with_ctes(INC, FILLED, TRAIN, FB, TU)
+
+
+TU2 = f"""
+tu2 AS (
+  SELECT false AS is_feedback, 'h-' || CAST(incident_id AS VARCHAR) AS row_key, event_type, event_cause,
+         requires_road_closure, priority, corridor, police_station, hour, day_of_week, is_peak_hour,
+         congestion_severity, 1.0::DOUBLE AS weight FROM train
+  UNION ALL
+  SELECT true, 'f-' || CAST(seq AS VARCHAR), coalesce(event_type, 'unplanned'), coalesce(event_cause, 'others'),
+         coalesce(requires_road_closure, false), coalesce(priority, 'Low'), coalesce(corridor, 'Non-corridor'),
+         coalesce(police_station, 'Unknown'), coalesce(hour, 12), coalesce(day_of_week, 1),
+         CAST(coalesce(hour IN {PEAK}, false) AS INTEGER), actual_severity, 10.0::DOUBLE
+  FROM fb WHERE actual_severity IS NOT NULL
+),
+vk AS (
+  SELECT 'event_type' AS feature, coalesce(event_type, 'Unknown') AS value FROM tu2
+  UNION SELECT 'event_cause', coalesce(event_cause, 'Unknown') FROM tu2
+  UNION SELECT 'priority', coalesce(priority, 'Unknown') FROM tu2
+  UNION SELECT 'corridor', coalesce(corridor, 'Unknown') FROM tu2
+  UNION SELECT 'police_station', coalesce(police_station, 'Unknown') FROM tu2
+  UNION SELECT f, 'Unknown' FROM (VALUES ('event_type'), ('event_cause'), ('priority'), ('corridor'),
+                                         ('police_station')) v(f)
+),
+vocab AS (
+  SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS code
+  FROM vk
+)"""
+
+BASE_VOCAB = with_ctes(INC, FILLED, TRAIN, FB, TU2)
+
+
+def code_sql(tbl: str, col: str) -> str:
+    return (f"coalesce((SELECT code FROM vocab WHERE feature = '{col}' AND value = coalesce({tbl}.{col}, 'Unknown')),"
+            f" (SELECT code FROM vocab WHERE feature = '{col}' AND value = 'Unknown'), 0)")
