@@ -73,5 +73,6 @@ def iso_z(c) -> Column:
 
 
 def fixed(c, digits: int) -> Column:
-    """Number rounded half-up and printed with exactly ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", F.round(_c(c).cast("double"), digits))
+    """``toFixed``: the exact value rounded half-up, printed with exactly ``digits`` decimals."""
+    from .numeric import js_fixed
+    return F.format_string(f"%.{digits}f", js_fixed(_c(c), digits))

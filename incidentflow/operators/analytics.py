@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numeric import js_fixed, py_round
 
 
 def value_counts(df: DataFrame, col: str, k: int | None = None, name: str = "n",
@@ -25,7 +26,7 @@ def value_counts(df: DataFrame, col: str, k: int | None = None, name: str = "n",
 def with_share(counts: DataFrame, name: str = "n", share: str = "share_pct", digits: int = 1) -> DataFrame:
     """Share of the total in percent; the window runs over the (small) aggregated rows only."""
     total = F.sum(name).over(Window.partitionBy())
-    return counts.withColumn(share, F.round(F.col(name) * F.lit(100.0) / total, digits))
+    return counts.withColumn(share, js_fixed(F.col(name) * F.lit(100.0) / total, digits))
 
 
 def hour_counts(df: DataFrame, ts: str = "start_datetime") -> DataFrame:
@@ -73,7 +74,7 @@ def peak_surge(df: DataFrame, ts: str = "start_datetime") -> DataFrame:
                          F.col("off_n") / F.lit(float(24 - n_peak)))
     return agg.select(F.col("peak_n").cast("long").alias("peak_n"),
                       F.col("off_n").cast("long").alias("off_n"),
-                      F.round(ratio, 2).alias("surge_ratio"))
+                      py_round(ratio, 2).alias("surge_ratio"))
 
 
 def sample_n(df: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K.SAMPLE_SEED,

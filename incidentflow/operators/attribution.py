@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
+from ..functions.numeric import js_fixed
 from .features import cause_weight
 
 FACTORS = ("cause", "peak", "closure", "priority", "corridor")
@@ -35,8 +36,8 @@ def attribution_columns(df: DataFrame, duration: str) -> dict:
     for f in FACTORS:
         share = attr[f] / total
         out[f"attr_{f}"] = attr[f]
-        out[f"pct_{f}"] = F.round(share * F.lit(100.0), 0).cast("int")
-        out[f"min_{f}"] = F.round(share * F.col(duration), 1)
+        out[f"pct_{f}"] = js_fixed(share * F.lit(100.0), 0).cast("int")
+        out[f"min_{f}"] = js_fixed(share * F.col(duration), 1)
     return out
 
 
@@ -53,7 +54,7 @@ def attribution_long(df: DataFrame, key: str, duration: str) -> DataFrame:
 def display_score(df: DataFrame) -> dict:
     """Score from the display weights with the display multiplier order, and its label."""
     base = cause_weight(F.col("event_cause"), K.DISPLAY_CAUSE_WEIGHTS, K.DEFAULT_DISPLAY_WEIGHT)
-    c_val = F.round(base / F.lit(10.0), 1)
+    c_val = js_fixed(base / F.lit(10.0), 1)
     peak, closure, high, corr = _flags(F.col("hour"), F.col("requires_road_closure"),
                                        F.col("priority"), F.col("corridor"))
     p_m = F.when(high, F.lit(K.PRIORITY_MULT)).otherwise(F.lit(1.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numeric import js_fixed, py_round
 from .features import is_peak, with_weight
 
 
@@ -82,7 +83,7 @@ def prefill_closure(forms: DataFrame) -> DataFrame:
     return forms.select(
         "*",
         F.col("predicted_severity").alias("actual_severity"),
-        F.round(F.col("predicted_duration_minutes"), 0).cast("long").alias("actual_duration"),
+        js_fixed(F.col("predicted_duration_minutes"), 0).cast("long").alias("actual_duration"),
         F.col("recommended_headcount").alias("actual_officers"),
         F.col("barricade_count").alias("actual_barricades"),
         F.lit(3).alias("rating"),
@@ -113,10 +114,10 @@ def stats_from_sums(agg: DataFrame) -> DataFrame:
     nz = F.col("n") > 0
     return agg.select(
         F.col("n").cast("long").alias("total_feedback_events"),
-        F.when(nz, F.round(F.col("rating_sum") / F.col("n"), 2)).otherwise(F.lit(0.0)).alias("average_rating"),
-        F.when(nz, F.round(F.col("hits") / F.col("n") * F.lit(100.0), 1)).otherwise(F.lit(0.0))
+        F.when(nz, py_round(F.col("rating_sum") / F.col("n"), 2)).otherwise(F.lit(0.0)).alias("average_rating"),
+        F.when(nz, py_round(F.col("hits") / F.col("n") * F.lit(100.0), 1)).otherwise(F.lit(0.0))
          .alias("severity_prediction_accuracy"),
-        F.when(nz, F.round(F.col("abs_err") / F.col("n"), 1)).otherwise(F.lit(0.0)).alias("duration_mae_minutes"),
+        F.when(nz, py_round(F.col("abs_err") / F.col("n"), 1)).otherwise(F.lit(0.0)).alias("duration_mae_minutes"),
         F.coalesce(F.col("saved"), F.lit(0)).cast("long").alias("manpower_savings_count"),
     )
 
@@ -160,8 +161,8 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
     n = F.col("off_n") + F.col("l_n")
     return (j.select(
         n.cast("long").alias("event_count"),
-        F.round((F.col("off_hits") + F.col("l_hits")) / n * F.lit(100.0), 1).alias("accuracy"),
-        F.round((F.col("off_err") + F.col("l_err")) / n, 1).alias("mae"))
+        py_round((F.col("off_hits") + F.col("l_hits")) / n * F.lit(100.0), 1).alias("accuracy"),
+        py_round((F.col("off_err") + F.col("l_err")) / n, 1).alias("mae"))
         .filter(F.col("event_count") >= start))
 
 
@@ -172,6 +173,6 @@ def learning_curve_plain(fb: DataFrame, start: int = K.LEARNING_CURVE_START) ->
     err = F.abs(F.col("predicted_duration") - F.col("actual_duration"))
     n = F.count(F.lit(1)).over(w)
     return (fb.select(n.cast("long").alias("event_count"),
-                      F.round(F.sum(hit).over(w) / n * F.lit(100.0), 1).alias("accuracy"),
-                      F.round(F.sum(err).over(w) / n, 1).alias("mae"))
+                      py_round(F.sum(hit).over(w) / n * F.lit(100.0), 1).alias("accuracy"),
+                      py_round(F.sum(err).over(w) / n, 1).alias("mae"))
             .filter(F.col("event_count") >= start))

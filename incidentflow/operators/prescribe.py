@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geomath as G
 from ..functions import text as TX
+from ..functions.numeric import py_round
 from .clean import cap_duration, drop_missing, with_duration
 from .features import cause_weight, is_peak, score_expr, severity_expr
 from .geo import junction_centroids, suggest_junctions
@@ -73,7 +74,7 @@ def calibrate(duration: Column, cause: Column) -> Column:
         val = F.lit(base) + d % F.lit(mod)
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     out = expr.otherwise(d)
-    return F.greatest(F.lit(K.MIN_DURATION), F.round(out, 1))
+    return F.greatest(F.lit(K.MIN_DURATION), py_round(out, 1))
 
 
 def rule_severity(df: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from ..operators import analytics as A
 from ..operators import clean as C
 from ..sources import fixtures as fx
 from . import sqlbase as S
+from ..functions.numeric import exact_round_sql as XR
 from .registry import register
 
 
@@ -73,7 +74,7 @@ def sorted_hours(spark, sf):
 
 @register("priority_counts", S.BASE_SERVE + """
 , c AS (SELECT priority, count(*) AS n FROM serve GROUP BY priority)
-SELECT priority, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS share_pct FROM c""")
+SELECT priority, n, """ + XR("n * 100.0::DOUBLE / sum(n) OVER ()", 1, "up") + """ AS share_pct FROM c""")
 def priority_counts(spark, sf):
     return A.with_share(A.value_counts(_serve(spark, sf), "priority", dropna=False))
 
@@ -124,8 +125,8 @@ def top_labels(spark, sf):
   a AS (SELECT coalesce(sum(CASE WHEN hour IN {S.PEAK} THEN n ELSE 0 END), 0) AS peak_n,
                coalesce(sum(CASE WHEN hour NOT IN {S.PEAK} THEN n ELSE 0 END), 0) AS off_n FROM h)
 SELECT CAST(peak_n AS BIGINT) AS peak_n, CAST(off_n AS BIGINT) AS off_n,
-       round(CASE WHEN off_n = 0 THEN NULL ELSE (peak_n / 8.0::DOUBLE) / (off_n / 16.0::DOUBLE) END, 2)
-         AS surge_ratio FROM a""")
+       """ + XR("CASE WHEN off_n = 0 THEN NULL ELSE (peak_n / 8.0::DOUBLE) / (off_n / 16.0::DOUBLE) END", 2)
+       + """ AS surge_ratio FROM a""")
 def peak_surge(spark, sf):
     return A.peak_surge(_serve(spark, sf))
 

@@ -12,6 +12,7 @@ from ..operators.features import train_table
 from ..functions import text as TX
 from ..sources import fixtures as fx
 from . import sqlbase as S
+from ..functions.numeric import exact_round_sql as XR
 from .registry import register, r6
 
 
@@ -79,13 +80,17 @@ def fb_latest_first(spark, sf):
     return FB.latest_first(_fb(spark, sf)).select("seq", "event_id")
 
 
-STATS_SQL = """
+AVG_RATING = "CASE WHEN count(*) > 0 THEN " + XR("sum(rating) / count(*)", 2) + " ELSE 0.0 END"
+ACC = ("CASE WHEN count(*) > 0 THEN " + XR("sum(CASE WHEN predicted_severity = actual_severity THEN 1 ELSE 0 END)"
+                                          " / count(*) * 100.0::DOUBLE", 1) + " ELSE 0.0 END")
+MAE = ("CASE WHEN count(*) > 0 THEN " + XR("sum(abs(predicted_duration - actual_duration)) / count(*)", 1)
+       + " ELSE 0.0 END")
+
+STATS_SQL = f"""
 SELECT CAST(count(*) AS BIGINT) AS total_feedback_events,
-       CASE WHEN count(*) > 0 THEN round(sum(rating) / count(*), 2) ELSE 0.0 END AS average_rating,
-       CASE WHEN count(*) > 0 THEN round(sum(CASE WHEN predicted_severity = actual_severity THEN 1 ELSE 0 END)
-                                         / count(*) * 100.0::DOUBLE, 1) ELSE 0.0 END AS severity_prediction_accuracy,
-       CASE WHEN count(*) > 0 THEN round(sum(abs(predicted_duration - actual_duration)) / count(*), 1)
-            ELSE 0.0 END AS duration_mae_minutes,
+       {AVG_RATING} AS average_rating,
+       {ACC} AS severity_prediction_accuracy,
+       {MAE} AS duration_mae_minutes,
        CAST(coalesce(sum(greatest(0, recommended_officers - actual_officers)), 0) AS BIGINT)
          AS manpower_savings_count
 FROM fb"""
@@ -101,22 +106,17 @@ def fb_total(spark, sf):
     return FB.feedback_stats(_fb(spark, sf)).select("total_feedback_events")
 
 
-@register("fb_avg_rating", S.BASE_FB + """
-SELECT CASE WHEN count(*) > 0 THEN round(sum(rating) / count(*), 2) ELSE 0.0 END AS average_rating FROM fb""")
+@register("fb_avg_rating", S.BASE_FB + f"\nSELECT {AVG_RATING} AS average_rating FROM fb")
 def fb_avg_rating(spark, sf):
     return FB.feedback_stats(_fb(spark, sf)).select("average_rating")
 
 
-@register("fb_severity_accuracy", S.BASE_FB + """
-SELECT CASE WHEN count(*) > 0 THEN round(sum(CASE WHEN predicted_severity = actual_severity THEN 1 ELSE 0 END)
-            / count(*) * 100.0::DOUBLE, 1) ELSE 0.0 END AS severity_prediction_accuracy FROM fb""")
+@register("fb_severity_accuracy", S.BASE_FB + f"\nSELECT {ACC} AS severity_prediction_accuracy FROM fb")
 def fb_severity_accuracy(spark, sf):
     return FB.feedback_stats(_fb(spark, sf)).select("severity_prediction_accuracy")
 
 
-@register("fb_duration_mae", S.BASE_FB + """
-SELECT CASE WHEN count(*) > 0 THEN round(sum(abs(predicted_duration - actual_duration)) / count(*), 1)
-            ELSE 0.0 END AS duration_mae_minutes FROM fb""")
+@register("fb_duration_mae", S.BASE_FB + f"\nSELECT {MAE} AS duration_mae_minutes FROM fb")
 def fb_duration_mae(spark, sf):
     return FB.feedback_stats(_fb(spark, sf)).select("duration_mae_minutes")
 
@@ -134,8 +134,8 @@ def fb_manpower_saved(spark, sf):
          sum(CASE WHEN predicted_severity = actual_severity THEN 1 ELSE 0 END) OVER o AS hits,
          sum(abs(predicted_duration - actual_duration)) OVER o AS err
   FROM fb WINDOW o AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT CAST(n AS BIGINT) AS event_count, round(hits / n * 100.0::DOUBLE, 1) AS accuracy,
-       round(err / n, 1) AS mae FROM w WHERE n >= 5""")
+SELECT CAST(n AS BIGINT) AS event_count, """ + XR("hits / n * 100.0::DOUBLE", 1) + """ AS accuracy,
+       """ + XR("err / n", 1) + """ AS mae FROM w WHERE n >= 5""")
 def learning_curve(spark, sf):
     return FB.learning_curve(_fb(spark, sf))
 
@@ -190,7 +190,7 @@ BASE_FORMS = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.REQ, S.FC)
 
 @register("fb_defaults_from_prediction", BASE_FORMS + f"""
 SELECT request_id, predicted_severity AS actual_severity,
-       CAST(round(predicted_duration_minutes, 0) AS BIGINT) AS actual_duration,
+       CAST({XR("predicted_duration_minutes", 0, "up")} AS BIGINT) AS actual_duration,
        CAST({S.plan_int('predicted_severity', 1)} AS INTEGER) AS actual_officers,
        CAST({S.plan_int('predicted_severity', 2)} AS INTEGER) AS actual_barricades, 3 AS rating FROM fc""")
 def fb_defaults_from_prediction(spark, sf):
@@ -210,8 +210,8 @@ def _with_features(spark, sf):
 
 @register("attribution", S.BASE_ATTR + "\n" + " UNION ALL ".join(
     f"SELECT seq, '{f}' AS factor, a_{f} AS contribution, "
-    f"CAST(round(a_{f} / tot * 100.0::DOUBLE, 0) AS INTEGER) AS percent, "
-    f"round(a_{f} / tot * dur, 1) AS minutes FROM a5" for f in AT.FACTORS))
+    f"CAST({XR(f'a_{f} / tot * 100.0::DOUBLE', 0, 'up')} AS INTEGER) AS percent, "
+    f"{XR(f'a_{f} / tot * dur', 1, 'up')} AS minutes FROM a5" for f in AT.FACTORS))
 def attribution(spark, sf):
     """Five factor contributions per ledger forecast, long form."""
     return AT.attribution_long(_with_features(spark, sf), "seq", "predicted_duration")
@@ -227,7 +227,7 @@ def attribution_score(spark, sf):
 
 
 def _fx1(c: str) -> str:
-    return f"printf('%.1f', round({c}, 1))"
+    return f"printf('%.1f', {XR(c, 1, 'up')})"
 
 
 @register("attribution_label", S.BASE_ATTR + f"""
@@ -235,7 +235,7 @@ SELECT seq,
   'Congestion Score = ' || {_fx1('c_val')} || ' (Cause: ' || {S.title_sql('event_cause')} || ') × ' ||
   {_fx1('p_mult')} || ' (Priority: ' || priority || ') × ' || {_fx1('cl_mult')} || ' (Closure) × ' ||
   {_fx1('corr_mult')} || ' (Corridor) × ' || {_fx1('peak_mult')} || ' (Peak Hour) = ' ||
-  printf('%.2f', round(display_score, 2)) || ' (' || display_severity || ')' AS formula,
+  printf('%.2f', {XR('display_score', 2, 'up')}) || ' (' || display_severity || ')' AS formula,
   'Incident Cause Base weight (' || {S.title_sql('event_cause')} || '): +' || {_fx1('a_cause / tot * dur')} || ' min'
     AS label_cause,
   'Temporal Commute surcharge (' || CAST(hour AS VARCHAR) || ':00 ' ||

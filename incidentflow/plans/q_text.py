@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import geomath as G
 from ..functions import text as TX
+from ..functions.numeric import py_round
 from ..operators import analytics as A
 from ..operators import clean as C
 from ..operators import geo as GEO
 from ..operators.features import train_table
 from ..sources import fixtures as fx
 from . import sqlbase as S
+from ..functions.numeric import exact_round_sql as XR
 from .registry import register, r6
 
 
@@ -60,16 +62,16 @@ def iso_time(spark, sf):
 
 
 @register("clamp_round", S.BASE_FB + """
-SELECT seq, greatest(10.0::DOUBLE, round(actual_duration * 0.37::DOUBLE, 1)) AS floor_10,
+SELECT seq, greatest(10.0::DOUBLE, """ + XR("actual_duration * 0.37::DOUBLE", 1) + """) AS floor_10,
        least(5, greatest(1, rating)) AS rating_clamped,
-       round(predicted_duration / 7.0::DOUBLE, 2) AS per_day FROM fb""")
+       """ + XR("predicted_duration / 7.0::DOUBLE", 2) + """ AS per_day FROM fb""")
 def clamp_round(spark, sf):
     """max / min clamps and rounding to 1-2 dp (H9)."""
     fb = fx.feedback(spark, sf)
     return fb.select("seq",
-                     F.greatest(F.lit(10.0), F.round(F.col("actual_duration") * F.lit(0.37), 1)).alias("floor_10"),
+                     F.greatest(F.lit(10.0), py_round(F.col("actual_duration") * F.lit(0.37), 1)).alias("floor_10"),
                      F.least(F.lit(5), F.greatest(F.lit(1), F.col("rating"))).alias("rating_clamped"),
-                     F.round(F.col("predicted_duration") / F.lit(7.0), 2).alias("per_day"))
+                     py_round(F.col("predicted_duration") / F.lit(7.0), 2).alias("per_day"))
 
 
 @register("int_div_mod", S.BASE_FB + """
@@ -86,7 +88,7 @@ def int_div_mod(spark, sf):
 
 @register("percent_share", S.BASE_SERVE + """
 , c AS (SELECT event_cause, count(*) AS n FROM serve GROUP BY 1)
-SELECT event_cause, n, CAST(round(n * 100.0::DOUBLE / sum(n) OVER (), 0) AS INTEGER) AS pct FROM c""")
+SELECT event_cause, n, CAST(""" + XR("n * 100.0::DOUBLE / sum(n) OVER ()", 0, "up") + """ AS INTEGER) AS pct FROM c""")
 def percent_share(spark, sf):
     """Whole-percent share of each cause."""
     c = A.value_counts(C.serve_table(fx.incidents(spark, sf)), "event_cause", dropna=False)

@@ -237,10 +237,11 @@ DUR = "date_diff('microsecond', start_datetime, closed_datetime) / 60000000.0::D
 
 
 def calibrate_sql(d: str, cause: str = "event_cause") -> str:
-    return (f"greatest(10.0::DOUBLE, round(CASE "
+    from ..functions.numeric import exact_round_sql
+    return (f"greatest(10.0::DOUBLE, " + exact_round_sql(f"CASE "
             f"WHEN lower({cause}) = 'vehicle_breakdown' AND {d} > 180.0 THEN 45.0::DOUBLE + fmod({d}, 60.0::DOUBLE) "
             f"WHEN lower({cause}) = 'accident' AND {d} > 240.0 THEN 60.0::DOUBLE + fmod({d}, 90.0::DOUBLE) "
-            f"ELSE {d} END, 1))")
+            f"ELSE {d} END", 1) + ")")
 
 
 FC = f"""
@@ -306,6 +307,8 @@ def title_sql(c: str, all_underscores: bool = True) -> str:
     return f"array_to_string(list_transform(string_split({src}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
+from ..functions.numeric import exact_round_sql  # noqa: E402
+
 ATTR = f"""
 a0 AS (
   SELECT seq, event_cause, hour, requires_road_closure, priority, corridor,
@@ -324,7 +327,7 @@ a1 AS (
 ),
 a2 AS (SELECT *, a_cause + a_peak + a_closure + a_priority + a_corridor AS tot FROM a1),
 a3 AS (
-  SELECT *, round(b / 10.0::DOUBLE, 1) AS c_val,
+  SELECT *, {exact_round_sql('b / 10.0::DOUBLE', 1, 'up')} AS c_val,
          CASE WHEN hi THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS p_mult,
          CASE WHEN cl THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS cl_mult,
          CASE WHEN pk THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS peak_mult,
