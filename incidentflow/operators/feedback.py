@@ -127,8 +127,9 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
 
     Two passes instead of one global running window (which would sort the whole
     ledger in a single task):
-      1. rows are cut into ``chunks`` contiguous ranges of ``seq``; each range
-         is summarised (rows, hits, absolute error) - a small table;
+      1. rows are cut into ``chunks`` contiguous ranges of ``seq`` (quantile
+         boundaries); each range is summarised (rows, hits, absolute error) -
+         a small table;
       2. a running sum over the few summaries gives each range its offset, and
          a window *partitioned by range* finishes the prefix inside each range.
     The offset table has one row per range (bounded by ``chunks``) and is joined
@@ -141,11 +142,18 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
         "seq",
         F.when(F.col("predicted_severity") == F.col("actual_severity"), 1).otherwise(0).alias("hit"),
         F.abs(F.col("predicted_duration") - F.col("actual_duration")).alias("err"))
-    # One scalar row (min, max of seq) sizes the ranges; nothing else reaches the driver.
-    b = base.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    lo, hi = (b["lo"], b["hi"]) if b is not None and b["lo"] is not None else (0, 0)
-    width = max(1, -(-(int(hi) - int(lo) + 1) // chunks))
-    chunked = base.withColumn("chunk", F.floor((F.col("seq") - F.lit(int(lo))) / F.lit(width)))
+    # Range boundaries come from an approximate quantile sketch of seq (only the
+    # boundaries reach the driver), so ranges hold similar row counts even when
+    # seq values cluster. Any boundaries give the exact result; they only
+    # balance the work.
+    qs = base.approxQuantile("seq", [i / chunks for i in range(1, chunks)], 0.001) if chunks > 1 else []
+    splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
+    if len(splits) < 3:
+        chunked = base.withColumn("chunk", F.lit(0.0))
+    else:
+        from pyspark.ml.feature import Bucketizer
+        chunked = Bucketizer(splits=splits, inputCol="_seq_d", outputCol="chunk").transform(
+            base.withColumn("_seq_d", F.col("seq").cast("double"))).drop("_seq_d")
     per_chunk = chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("c_n"), F.sum("hit").alias("c_hits"),
                                              F.sum("err").alias("c_err"))
     w_all = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .clean import drop_missing, in_bbox
+from .dims import join_dim, materialise
 
 
 def wide_points(train: DataFrame, extra_keys=()) -> DataFrame:
@@ -98,15 +99,16 @@ def ranked_arrays(top: DataFrame, key: str, name: str) -> DataFrame:
 def suggest_junctions(requests: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
     """Station's top-k junctions, else the corridor's, else three fixed names.
 
-    Both ranked tables have one row per distinct station / corridor; their size
-    is not known at plan time, so adaptive execution picks broadcast or
-    shuffled joins from the measured sizes.
+    Both ranked tables (one row per distinct station / corridor, at most k
+    names each) are written once and joined with a size-checked broadcast, so
+    the request side is never shuffled for them.
     """
-    by_station = ranked_arrays(top_junctions(history, "police_station", k), "police_station", "_st")
-    by_corridor = ranked_arrays(top_junctions(history, "corridor", k), "corridor", "_co")
+    by_station = materialise(ranked_arrays(top_junctions(history, "police_station", k), "police_station", "_st"),
+                             "top_by_station")
+    by_corridor = materialise(ranked_arrays(top_junctions(history, "corridor", k), "corridor", "_co"),
+                              "top_by_corridor")
     fallback = F.array(*[F.lit(j) for j in K.FALLBACK_JUNCTIONS])
-    out = (requests.join(by_station, "police_station", "left")
-           .join(by_corridor, "corridor", "left"))
+    out = join_dim(join_dim(requests, by_station, "police_station"), by_corridor, "corridor")
     source = (F.when(F.col("_st").isNotNull(), F.lit("station"))
               .when(F.col("_co").isNotNull(), F.lit("corridor")).otherwise(F.lit("default")))
     return (out.withColumn("suggested_junctions", F.coalesce("_st", "_co", fallback))
@@ -118,13 +120,13 @@ def attach_junction(df: DataFrame, junction_dim: DataFrame, col: str = "junction
     """Junction -> centroid, NULL when the junction is unknown."""
     dim = junction_dim.select(F.col("name").alias(col), F.col("lat").alias(f"{prefix}_lat"),
                               F.col("lng").alias(f"{prefix}_lng"))
-    return df.join(dim, col, "left")
+    return join_dim(df, dim, col)
 
 
 def snap_station(requests: DataFrame, station_dim: DataFrame) -> DataFrame:
     """Source = station centroid, destination = source + (0.0005, -0.001)."""
     dim = station_dim.select(F.col("name").alias("police_station"),
                              F.col("lat").alias("src_lat"), F.col("lng").alias("src_lng"))
-    return (requests.join(dim, "police_station", "left")
+    return (join_dim(requests, dim, "police_station")
             .withColumn("dst_lat", F.col("src_lat") + F.lit(K.DEST_OFFSET[0]))
             .withColumn("dst_lng", F.col("src_lng") + F.lit(K.DEST_OFFSET[1])))

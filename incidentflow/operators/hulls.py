@@ -98,7 +98,7 @@ def station_hulls(train: DataFrame, salts: int = 64) -> DataFrame:
     salted = reduced.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.lit(salts)))
     level1 = salted.groupBy("police_station", "_salt").applyInPandas(
         _partial, "police_station string, longitude double, latitude double")
-    level2_in = level1.join(cents, "police_station", "left")
+    level2_in = level1.join(cents, "police_station", "left")   # both sides: one row per station / vertex
     return level2_in.groupBy("police_station").applyInPandas(
         _final, "police_station string, ring array<array<double>>, n_vertices int, degenerate boolean")
 

@@ -1,24 +1,30 @@
-"""k nearest reference points by great-circle distance, exact, without a cross join (survey C8).
-
-Both sides are bucketed into square grid cells of ``cell`` degrees. Round r
-joins every pending point to the reference points of the (2r+1)^2 cells around
-it (an equi-join on cell ids), ranks candidates and keeps the k best. A point
-is resolved when its k-th distance is within the distance that any reference
-point outside the searched block must exceed (a per-point lower bound), or
-when the block covers every reference cell. Unresolved points go to the next
-round with r doubled; only they are re-processed. Candidate pairs are limited
-to the local neighbourhood, never all pairs.
+"""k nearest reference points by great-circle distance: exact, no cross join, no
+shuffle of the large side (survey C8).
+
+Reference points are bucketed into square cells of ``cell`` degrees. For a
+search radius of r cells, a *neighbourhood table* is built on the small side
+only: for every cell within r of an occupied cell, the list of reference
+points in the (2r+1)^2 block around it. Each query point then needs a single
+equi-join on its own cell (a size-checked broadcast join: narrow, no
+shuffle), and its k best candidates come from sorting that short array in
+place.
+
+A point is resolved when its k-th distance is within the distance any point
+outside the searched block must exceed (a per-point lower bound), or when the
+block covers every occupied cell. Unresolved points go to the next round with
+r doubled; only they are re-processed. Candidates are limited to the local
+block, never all pairs.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.geomath import great_circle_m
+from .dims import join_dim, materialise
 
 RAD = math.pi / 180.0
 
@@ -34,41 +40,72 @@ def _bound_m(lat, reach_deg: float):
     return F.lit(K.EARTH_RADIUS_M) * F.least(lat_part, lng_part)
 
 
-def nearest(points: DataFrame, ref: DataFrame, key: str, k: int = 3, cell: float = 0.02,
+def _haversine_expr(p_lat: str, p_lng: str, q_lat: str, q_lng: str) -> str:
+    """SQL text of the great-circle distance (same formula as functions.geomath)."""
+    r = repr(RAD)
+    a = (f"sin(({q_lat} - {p_lat}) * {r}D / 2.0D) * sin(({q_lat} - {p_lat}) * {r}D / 2.0D)"
+         f" + cos({p_lat} * {r}D) * cos({q_lat} * {r}D)"
+         f" * sin(({q_lng} - {p_lng}) * {r}D / 2.0D) * sin(({q_lng} - {p_lng}) * {r}D / 2.0D)")
+    return f"{K.EARTH_RADIUS_M!r}D * 2.0D * atan2(sqrt({a}), sqrt(1.0D - ({a})))"
+
+
+def neighbourhoods(cells: DataFrame, r: int) -> DataFrame:
+    """(gx, gy, js): reference points of the (2r+1)^2 block around every cell near an
+    occupied one. Built from the small side only."""
+    offs = F.sequence(F.lit(-r), F.lit(r))
+    spread = (cells.withColumn("ox", F.explode(offs)).withColumn("oy", F.explode(offs))
+              .select((F.col("gx") + F.col("ox")).alias("gx"), (F.col("gy") + F.col("oy")).alias("gy"),
+                      F.explode("js").alias("j")))
+    return spread.groupBy("gx", "gy").agg(F.collect_list("j").alias("js"))
+
+
+def auto_cell(ref: DataFrame, k: int) -> float:
+    """Cell side from the density of the reference points: about k/4 points per cell."""
+    e = ref.agg(F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng"), F.count(F.lit(1))).first()
+    if e is None or not e[4]:
+        return 0.02
+    area = max((e[1] - e[0]) * (e[3] - e[2]), 1e-8)
+    return max(1e-4, math.sqrt(k * area / e[4]) / 2.0)
+
+
+def nearest(points: DataFrame, ref: DataFrame, key: str, k: int = 3, cell: float | None = None,
             lat: str = "latitude", lng: str = "longitude") -> DataFrame:
     """(key, rank, junction, dist_m) for the k nearest rows of ``ref`` (name, lat, lng)."""
     spark = points.sparkSession
+    ref = materialise(ref.select("name", "lat", "lng"), "nearest_ref")
+    if cell is None:
+        cell = auto_cell(ref, k)
     d = ref.select(F.col("name").alias("junction"), F.col("lat").alias("j_lat"), F.col("lng").alias("j_lng"))
     d = (d.withColumn("gx", F.floor(F.col("j_lat") / F.lit(cell)))
          .withColumn("gy", F.floor(F.col("j_lng") / F.lit(cell))))
-    ext = d.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()  # four scalars
+    cells = materialise(d.groupBy("gx", "gy").agg(
+        F.collect_list(F.struct("junction", "j_lat", "j_lng")).alias("js")), "nearest_cells")
+    ext = cells.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()  # four scalars
     if ext is None or ext[0] is None:
         return spark.createDataFrame([], f"{key} long, rank int, junction string, dist_m double")
     min_x, max_x, min_y, max_y = (int(v) for v in ext)
     pending = (points.select(key, F.col(lat).alias("p_lat"), F.col(lng).alias("p_lng"))
                .filter(F.col("p_lat").isNotNull() & F.col("p_lng").isNotNull())
-               .withColumn("px", F.floor(F.col("p_lat") / F.lit(cell)))
-               .withColumn("py", F.floor(F.col("p_lng") / F.lit(cell))))
+               .withColumn("gx", F.floor(F.col("p_lat") / F.lit(cell)))
+               .withColumn("gy", F.floor(F.col("p_lng") / F.lit(cell))))
+    dist = _haversine_expr("p_lat", "p_lng", "j.j_lat", "j.j_lng")
     results = []
     r = 1
     while True:
-        offsets = F.sequence(F.lit(-r), F.lit(r))
-        probe = (pending.withColumn("ox", F.explode(offsets)).withColumn("oy", F.explode(offsets))
-                 .withColumn("gx", F.col("px") + F.col("ox")).withColumn("gy", F.col("py") + F.col("oy")))
-        cand = probe.join(d, ["gx", "gy"]).withColumn(
-            "dist_m", great_circle_m("p_lat", "p_lng", "j_lat", "j_lng"))
-        w = Window.partitionBy(key)
-        ranked = (cand.withColumn("rank", F.row_number().over(w.orderBy("dist_m", "junction")))
-                  .filter(F.col("rank") <= k)
-                  .withColumn("n_found", F.count(F.lit(1)).over(w))
-                  .withColumn("kth", F.max("dist_m").over(w)))
-        covers = ((F.col("px") - r <= min_x) & (F.col("px") + r >= max_x)
-                  & (F.col("py") - r <= min_y) & (F.col("py") + r >= max_y))
-        ok = covers | ((F.col("n_found") >= k) & (F.col("kth") <= _bound_m(F.col("p_lat"), r * cell) * F.lit(1 - 1e-9)))
-        done = ranked.withColumn("resolved", ok).filter("resolved").select(
-            key, F.col("rank").cast("int").alias("rank"), "junction", "dist_m").checkpoint()
-        results.append(done)
-        pending = pending.join(done.select(key).distinct(), key, "left_anti").checkpoint()
+        hood = materialise(neighbourhoods(cells, r), f"nearest_hood_r{r}")
+        joined = join_dim(pending, hood, ["gx", "gy"])
+        scored = joined.withColumn("best", F.slice(F.expr(
+            f"array_sort(transform(coalesce(js, array()), j -> named_struct("
+            f"'dist_m', {dist}, 'junction', j.junction)))"), 1, k))
+        covers = ((F.col("gx") - r <= min_x) & (F.col("gx") + r >= max_x)
+                  & (F.col("gy") - r <= min_y) & (F.col("gy") + r >= max_y))
+        kth = F.element_at(F.col("best"), -1)["dist_m"]
+        ok = covers | ((F.size("best") >= k) & (kth <= _bound_m(F.col("p_lat"), r * cell) * F.lit(1 - 1e-9)))
+        flagged = scored.withColumn("resolved", ok).drop("js").checkpoint()
+        results.append(flagged.filter("resolved").select(key, F.posexplode("best").alias("pos", "b")).select(
+            key, (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.junction").alias("junction"),
+            F.col("b.dist_m").alias("dist_m")))
+        pending = flagged.filter(~F.col("resolved")).select(key, "p_lat", "p_lng", "gx", "gy")
         if pending.isEmpty():
             break
         r *= 2

@@ -13,6 +13,7 @@ from ..functions import text as TX
 from ..functions.numeric import py_round
 from .clean import cap_duration, drop_missing, with_duration
 from .features import cause_weight, is_peak, score_expr, severity_expr
+from .dims import join_dim, materialise
 from .geo import junction_centroids, suggest_junctions
 
 
@@ -64,8 +65,8 @@ def role_split(n: Column) -> dict:
     }
 
 
-def calibrate(duration: Column, cause: Column) -> Column:
-    """Cap implausible forecasts per cause, then max(10, round 1 dp)."""
+def calibrate_raw(duration: Column, cause: Column) -> Column:
+    """Per-cause cap of implausible forecasts, before rounding."""
     c = F.lower(cause)
     d = duration.cast("double")
     expr = None
@@ -73,8 +74,17 @@ def calibrate(duration: Column, cause: Column) -> Column:
         cond = (c == name) & (d > thr)
         val = F.lit(base) + d % F.lit(mod)
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    out = expr.otherwise(d)
-    return F.greatest(F.lit(K.MIN_DURATION), py_round(out, 1))
+    return expr.otherwise(d)
+
+
+def finish_duration(raw: Column) -> Column:
+    """max(10, round(raw, 1)) with Python's rounding."""
+    return F.greatest(F.lit(K.MIN_DURATION), py_round(raw, 1))
+
+
+def calibrate(duration: Column, cause: Column) -> Column:
+    """Cap implausible forecasts per cause, then max(10, round 1 dp)."""
+    return finish_duration(calibrate_raw(duration, cause))
 
 
 def rule_severity(df: DataFrame) -> Column:
@@ -97,10 +107,12 @@ def duration_baseline(train: DataFrame) -> DataFrame:
 def with_forecast(requests: DataFrame, train: DataFrame) -> DataFrame:
     """predicted_severity (rule) and calibrated predicted_duration_minutes."""
     df = requests.withColumn("predicted_severity", rule_severity(requests))
-    df = df.join(duration_baseline(train), ["event_cause", "predicted_severity"], "left")
+    base = materialise(duration_baseline(train), "duration_baseline")
+    df = join_dim(df, base, ["event_cause", "predicted_severity"])
     raw = F.coalesce(F.col("_base_duration"), F.lit(K.FALLBACK_DURATION))
-    return (df.withColumn("predicted_duration_minutes", calibrate(raw, F.col("event_cause")))
-            .drop("_base_duration"))
+    df = df.withColumn("_cal_raw", calibrate_raw(raw, F.col("event_cause")))   # staged before rounding
+    return (df.withColumn("predicted_duration_minutes", finish_duration(F.col("_cal_raw")))
+            .drop("_base_duration", "_cal_raw"))
 
 
 def offset_angle(key: Column, i: int) -> Column:
@@ -115,7 +127,7 @@ def diversion_point(df: DataFrame, i: int, junctions: DataFrame) -> DataFrame:
     p = f"p{i + 1}"
     dim = junctions.select(F.col("name").alias(f"{p}_name"), F.col("lat").alias("_jlat"),
                            F.col("lng").alias("_jlng"))
-    df = df.withColumn(f"{p}_name", name).join(dim, f"{p}_name", "left")
+    df = join_dim(df.withColumn(f"{p}_name", name), dim, f"{p}_name")
     dist = F.lit(K.OFFSET_BASE_DIST + i * K.OFFSET_STEP_DIST)
     olat, olng = G.polar_offset(F.col("latitude"), F.col("longitude"),
                                 offset_angle(F.col("request_id"), i), dist)
@@ -140,7 +152,7 @@ def blueprint_flat(requests: DataFrame, serve: DataFrame, train: DataFrame) -> D
     df = with_forecast(requests, train)
     df = attach_plan(df)
     df = suggest_junctions(df, serve)
-    jdim = junction_centroids(train)
+    jdim = materialise(junction_centroids(train), "junction_centroids")
     for i in range(2):
         df = diversion_point(df, i, jdim)
     roles = role_split(F.col("officers"))

@@ -220,10 +220,8 @@ def attribution(spark, sf):
 @register("attribution_score", S.BASE_ATTR + """
 SELECT seq, c_val, round(display_score, 6) AS display_score, display_severity FROM a5""")
 def attribution_score(spark, sf):
-    df = _with_features(spark, sf)
-    cols = AT.display_score(df)
-    return df.select("seq", cols["c_val"].alias("c_val"), r6(cols["display_score"]).alias("display_score"),
-                     cols["display_severity"].alias("display_severity"))
+    df = AT.with_display_score(_with_features(spark, sf))
+    return df.select("seq", "c_val", r6("display_score").alias("display_score"), "display_severity")
 
 
 def _fx1(c: str) -> str:
@@ -249,8 +247,8 @@ SELECT seq,
     AS label_corridor
 FROM a5""")
 def attribution_label(spark, sf):
-    df = _with_features(spark, sf)
-    cols = AT.display_score(df)
-    labels = AT.factor_labels(df, "predicted_duration")
-    return df.select("seq", AT.formula_text(cols, F.col("event_cause"), F.col("priority")).alias("formula"),
-                     *[v.alias(k) for k, v in labels.items()])
+    df = AT.with_display_score(_with_features(spark, sf))
+    df = AT.with_factor_labels(df.withColumn("formula", AT.formula_text(F.col("event_cause"), F.col("priority"))),
+                               "predicted_duration")
+    return df.select("seq", "formula", "label_cause", "label_peak", "label_closure", "label_priority",
+                     "label_corridor")

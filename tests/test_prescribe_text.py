@@ -80,7 +80,6 @@ def test_attribution_rows(spark):
     # construction display weight 35: 35 + 8.75 + 17.5 + 10.5 + 7 = 78.75
     assert long[(1, "cause")].percent == 44 and long[(1, "cause")].minutes == 44.4
     assert long[(2, "cause")].contribution == 20.0 and long[(2, "corridor")].contribution == 1.0
-    cols = AT.display_score(df)
-    txt = df.select(AT.formula_text(cols, F.col("event_cause"), F.col("priority"))).first()[0]
+    txt = AT.with_display_score(df).select(AT.formula_text(F.col("event_cause"), F.col("priority"))).first()[0]
     assert txt == ("Congestion Score = 3.5 (Cause: Construction) × 1.3 (Priority: High) × 1.5 (Closure) × "
                    "1.2 (Corridor) × 1.2 (Peak Hour) = 9.83 (Critical)")
