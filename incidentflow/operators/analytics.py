@@ -115,3 +115,21 @@ def analytics_long(serve: DataFrame) -> DataFrame:
     for sec, k in limits.items():
         keep = keep & ~((F.col("section") == sec) & (F.col("rank") > k))
     return ranked.filter(keep).drop("rank")
+
+
+def marker_class(priority, closure):
+    """(priority, closure) -> critical / high / medium / low map marker class."""
+    high = priority == "High"
+    cl = F.coalesce(closure, F.lit(False))
+    return (F.when(high & cl, F.lit("critical")).when(high, F.lit("high"))
+            .when(cl, F.lit("medium")).otherwise(F.lit("low")))
+
+
+def cause_category(cause):
+    """First matching substring of the lower-cased cause, else ``generic``."""
+    c = F.lower(cause.cast("string"))
+    expr = None
+    for needle, cat in K.CAUSE_CATEGORIES:
+        expr = (F.when(c.contains(needle), F.lit(cat)) if expr is None
+                else expr.when(c.contains(needle), F.lit(cat)))
+    return expr.otherwise(F.lit(K.CAUSE_CATEGORY_DEFAULT))

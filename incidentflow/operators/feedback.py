@@ -175,7 +175,7 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
 
 
 def learning_curve_plain(fb: DataFrame, start: int = K.LEARNING_CURVE_START) -> DataFrame:
-    """Reference form of E1 with one global running window (tests compare against it)."""
+    """Plain form of E1 with one global running window (tests compare against it)."""
     w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(F.col("predicted_severity") == F.col("actual_severity"), 1).otherwise(0)
     err = F.abs(F.col("predicted_duration") - F.col("actual_duration"))

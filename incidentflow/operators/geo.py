@@ -130,3 +130,32 @@ def snap_station(requests: DataFrame, station_dim: DataFrame) -> DataFrame:
     return (join_dim(requests, dim, "police_station")
             .withColumn("dst_lat", F.col("src_lat") + F.lit(K.DEST_OFFSET[0]))
             .withColumn("dst_lng", F.col("src_lng") + F.lit(K.DEST_OFFSET[1])))
+
+
+def meta_summary(train: DataFrame, polygons: DataFrame | None = None) -> DataFrame:
+    """One-row metadata (D23): the five sorted option lists, both centroid maps and
+    the station polygons.
+
+    Every part is an aggregate over a dimension (one row per distinct station,
+    corridor, cause, type, junction), so the single row is bounded by the
+    dimension sizes, not by the history. The parts are joined on a constant
+    key of one-row aggregates (no cross join).
+    """
+    lists = option_lists(train)
+    parts = lists.groupBy("list").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    wide = parts.groupBy().pivot("list", ["police_stations", "corridors", "event_causes", "event_types",
+                                          "junctions"]).agg(F.first("values"))
+
+    def as_map(dim, name):
+        return dim.agg(F.map_from_entries(F.collect_list(
+            F.struct("name", F.struct("lat", "lng")))).alias(name))
+
+    out = wide.withColumn("_k", F.lit(1))
+    for part in (as_map(station_centroids(train), "station_coords"),
+                 as_map(junction_centroids(train), "junction_coords")):
+        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    if polygons is not None:
+        pm = polygons.agg(F.map_from_entries(F.collect_list(F.struct("police_station", "geometry")))
+                          .alias("station_polygons"))
+        out = out.join(pm.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k")

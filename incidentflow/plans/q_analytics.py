@@ -162,3 +162,27 @@ def station_severity_summary(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("congestion_score"), 6).alias("avg_score"),
         F.sum(F.when(F.col("requires_road_closure"), 1).otherwise(0)).cast("long").alias("closures"))
+
+
+@register("marker_class", S.BASE_SERVE + """
+SELECT incident_id, CASE WHEN priority = 'High' AND requires_road_closure THEN 'critical'
+                         WHEN priority = 'High' THEN 'high' WHEN requires_road_closure THEN 'medium'
+                         ELSE 'low' END AS marker_class FROM serve""")
+def marker_class(spark, sf):
+    s = _serve(spark, sf)
+    return s.select("incident_id", A.marker_class(F.col("priority"), F.col("requires_road_closure"))
+                    .alias("marker_class"))
+
+
+@register("cause_category", S.BASE_SERVE + """
+SELECT incident_id, event_cause,
+       CASE WHEN contains(lower(event_cause), 'accident') THEN 'accident'
+            WHEN contains(lower(event_cause), 'protest') THEN 'protest'
+            WHEN contains(lower(event_cause), 'water') THEN 'water'
+            WHEN contains(lower(event_cause), 'construction') THEN 'construction'
+            WHEN contains(lower(event_cause), 'breakdown') THEN 'breakdown'
+            WHEN contains(lower(event_cause), 'other') THEN 'other' ELSE 'generic' END AS cause_category
+FROM serve""")
+def cause_category(spark, sf):
+    s = _serve(spark, sf)
+    return s.select("incident_id", "event_cause", A.cause_category(F.col("event_cause")).alias("cause_category"))

@@ -116,3 +116,11 @@ def station_snap(spark, sf):
     out = GEO.snap_station(fx.requests_from_incidents(inc), GEO.station_centroids(train_table(inc)))
     return out.select("request_id", "police_station", *[r6(c).alias(c) for c in
                                                         ("src_lat", "src_lng", "dst_lat", "dst_lng")])
+
+
+@register("meta_summary")
+def meta_summary(spark, sf):
+    """The one-row metadata document: lists, centroid maps, polygons."""
+    from ..operators import hulls as H
+    tr = _train(spark, sf)
+    return GEO.meta_summary(tr, H.polygons(H.station_hulls(tr)))

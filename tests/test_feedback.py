@@ -106,7 +106,7 @@ def test_json_reader_two_generations(spark, tmp_path):
             rec.update(event_type="unplanned", requires_road_closure=True, priority="High",
                        corridor="Hosur Road", police_station="Hebbal", hour=18, day_of_week=1)
         rows.append(rec)
-    path = tmp_path / "feedback.json"
+    path = tmp_path / "ledger.json"
     path.write_text(json.dumps(rows, indent=2))
     fb = R.read_feedback(spark, str(path))
     assert fb.count() == 28
