@@ -87,11 +87,21 @@ def calibrate(duration: Column, cause: Column) -> Column:
     return finish_duration(calibrate_raw(duration, cause))
 
 
+def rule_score(df: DataFrame) -> Column:
+    return score_expr(cause_weight(F.col("event_cause")), F.col("priority"),
+                      F.col("requires_road_closure"), F.col("corridor"), is_peak(F.col("hour")))
+
+
 def rule_severity(df: DataFrame) -> Column:
     """Severity of a request by the scoring rule (exact path; the forest is optional)."""
-    return severity_expr(score_expr(cause_weight(F.col("event_cause")), F.col("priority"),
-                                    F.col("requires_road_closure"), F.col("corridor"),
-                                    is_peak(F.col("hour"))))
+    return severity_expr(rule_score(df))
+
+
+def with_rule_severity(df: DataFrame) -> DataFrame:
+    """``predicted_severity`` with the score staged in its own projection, so the
+    three threshold tests read a column instead of recomputing the score."""
+    df = df.withColumn("_rule_score", rule_score(df))
+    return df.withColumn("predicted_severity", severity_expr(F.col("_rule_score"))).drop("_rule_score")
 
 
 def duration_baseline(train: DataFrame) -> DataFrame:
@@ -106,7 +116,7 @@ def duration_baseline(train: DataFrame) -> DataFrame:
 
 def with_forecast(requests: DataFrame, train: DataFrame) -> DataFrame:
     """predicted_severity (rule) and calibrated predicted_duration_minutes."""
-    df = requests.withColumn("predicted_severity", rule_severity(requests))
+    df = with_rule_severity(requests)
     base = materialise(duration_baseline(train), "duration_baseline")
     df = join_dim(df, base, ["event_cause", "predicted_severity"])
     raw = F.coalesce(F.col("_base_duration"), F.lit(K.FALLBACK_DURATION))
@@ -155,6 +165,10 @@ def blueprint_flat(requests: DataFrame, serve: DataFrame, train: DataFrame) -> D
     jdim = materialise(junction_centroids(train), "junction_centroids")
     for i in range(2):
         df = diversion_point(df, i, jdim)
+    return _blueprint_select(df)
+
+
+def _blueprint_select(df: DataFrame) -> DataFrame:
     roles = role_split(F.col("officers"))
     return df.select(
         "request_id",
@@ -209,3 +223,102 @@ def map_extent(flat: DataFrame) -> DataFrame:
     return (flat.filter(F.col("diversion_required") & F.col("p1_name").isNotNull())
             .select("request_id", lat0.alias("south"), lng0.alias("west"),
                     lat1.alias("north"), lng1.alias("east")))
+
+
+# --- one pass over the history for every dimension the blueprint needs ------
+
+def history_dims(incidents: DataFrame) -> DataFrame:
+    """All blueprint dimensions from ONE scan and ONE shuffle of the history.
+
+    Each history row emits up to four keyed entries:
+      ``st`` (station, junction) and ``co`` (corridor, junction) counts over the
+      tight-box history; ``jc`` (junction) integer micro-degree sums over the
+      wide-box training rows; ``du`` (cause, severity) duration sums over the
+      capped durations. One partial/final aggregate on (kind, k1, k2) reduces
+      them; the result (bounded by the number of distinct keys) is written once
+      to the shared folder and every dimension is a filter of it.
+    """
+    from .clean import coerce_coords, fill_defaults, bbox_predicate, duration_minutes
+    from .features import with_time_features, with_score, with_severity
+    from .dims import materialise
+    f = with_severity(with_score(with_time_features(coerce_coords(fill_defaults(incidents)))))
+    has_xy = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    started = F.col("start_datetime").isNotNull()
+    serve = has_xy & F.coalesce(bbox_predicate(K.TIGHT_BOX), F.lit(False))
+    wide = started & has_xy & F.coalesce(bbox_predicate(K.WIDE_BOX), F.lit(False))
+    has_j = F.col("junction").isNotNull()
+    dur = duration_minutes()
+    dur_ok = started & F.col("closed_datetime").isNotNull() & (dur > 0) & (dur < K.DURATION_CAP_MIN)
+    micro = lambda c: F.round(F.col(c) * F.lit(1e6)).cast("long")
+    nul_d, nul_l = F.lit(None).cast("double"), F.lit(None).cast("long")
+
+    def entry(kind, keep, k1, k2, a=nul_d, m1=nul_l, m2=nul_l):
+        return F.struct(F.lit(kind).alias("kind"), keep.alias("keep"), k1.cast("string").alias("k1"),
+                        k2.cast("string").alias("k2"), a.alias("a"), m1.alias("m1"), m2.alias("m2"))
+
+    entries = F.array(
+        entry("st", serve & has_j, F.col("police_station"), F.col("junction")),
+        entry("co", serve & has_j, F.col("corridor"), F.col("junction")),
+        entry("jc", wide & has_j, F.col("junction"), F.lit(None), m1=micro("latitude"), m2=micro("longitude")),
+        entry("du", dur_ok, F.col("event_cause"), F.col("congestion_severity"), a=dur),
+    )
+    keyed = f.select(F.explode(F.filter(entries, lambda e: F.coalesce(e["keep"], F.lit(False)))).alias("e")) \
+        .select("e.kind", "e.k1", "e.k2", "e.a", "e.m1", "e.m2")
+    agg = keyed.groupBy("kind", "k1", "k2").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
+    return materialise(agg, "history_dims")
+
+
+def dims_junction_centroids(d: DataFrame) -> DataFrame:
+    n = F.col("n").cast("double")
+    return d.filter(F.col("kind") == "jc").select(
+        F.col("k1").alias("name"), (F.col("m1").cast("double") / n / F.lit(1e6)).alias("lat"),
+        (F.col("m2").cast("double") / n / F.lit(1e6)).alias("lng"))
+
+
+def dims_duration_baseline(d: DataFrame) -> DataFrame:
+    return d.filter(F.col("kind") == "du").select(
+        F.col("k1").alias("event_cause"), F.col("k2").alias("predicted_severity"),
+        (F.col("a") / F.col("n").cast("double")).alias("_base_duration"))
+
+
+def dims_ranked(d: DataFrame, k: int = 3) -> DataFrame:
+    """(kind, k1, arr): the k most frequent junctions per station (``st``) and per
+    corridor (``co``) in one window over the small dimension table, written once."""
+    from pyspark.sql import Window
+    from .dims import materialise
+    c = d.filter(F.col("kind").isin("st", "co")).select("kind", "k1", F.col("k2").alias("junction"), "n")
+    w = Window.partitionBy("kind", "k1").orderBy(F.desc("n"), F.asc("junction"))
+    top = c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    arr = (top.groupBy("kind", "k1").agg(F.array_sort(F.collect_list(F.struct("rank", "junction"))).alias("_r"))
+           .select("kind", "k1", F.transform("_r", lambda x: x["junction"]).alias("arr")))
+    return materialise(arr, "history_ranked")
+
+
+def dims_top_arrays(ranked: DataFrame, kind: str, key: str, name: str) -> DataFrame:
+    return ranked.filter(F.col("kind") == kind).select(F.col("k1").alias(key), F.col("arr").alias(name))
+
+
+def blueprint_from_history(requests: DataFrame, incidents: DataFrame, k: int = 3) -> DataFrame:
+    """``blueprint_flat`` with every dimension taken from one pass over the history."""
+    d = history_dims(incidents)
+    df = with_rule_severity(requests)
+    df = join_dim(df, dims_duration_baseline(d), ["event_cause", "predicted_severity"])
+    raw = F.coalesce(F.col("_base_duration"), F.lit(K.FALLBACK_DURATION))
+    df = df.withColumn("_cal_raw", calibrate_raw(raw, F.col("event_cause")))
+    df = (df.withColumn("predicted_duration_minutes", finish_duration(F.col("_cal_raw")))
+          .drop("_base_duration", "_cal_raw"))
+    df = attach_plan(df)
+    ranked = dims_ranked(d, k)
+    st = dims_top_arrays(ranked, "st", "police_station", "_st")
+    co = dims_top_arrays(ranked, "co", "corridor", "_co")
+    df = join_dim(join_dim(df, st, "police_station"), co, "corridor")
+    fallback = F.array(*[F.lit(j) for j in K.FALLBACK_JUNCTIONS])
+    source = (F.when(F.col("_st").isNotNull(), F.lit("station"))
+              .when(F.col("_co").isNotNull(), F.lit("corridor")).otherwise(F.lit("default")))
+    df = (df.withColumn("suggested_junctions", F.coalesce("_st", "_co", fallback))
+          .withColumn("junction_source", source).drop("_st", "_co"))
+    jdim = dims_junction_centroids(d)
+    for i in range(2):
+        df = diversion_point(df, i, jdim)
+    return _blueprint_select(df)

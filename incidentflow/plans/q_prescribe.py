@@ -16,7 +16,7 @@ from .registry import register, r6
 
 def _blueprint(spark, sf):
     inc = fx.incidents(spark, sf)
-    return P.blueprint_flat(fx.requests_from_incidents(inc), C.serve_table(inc), train_table(inc))
+    return P.blueprint_from_history(fx.requests_from_incidents(inc), inc)
 
 
 def _forecast(spark, sf):

@@ -29,7 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def incidents_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
     """One incident per event; see FIXTURES.md section 3 for the rules."""
     eid, uid = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k").try_cast("int")
+    # ``props`` is parsed once in its own projection; referenced twice inside
+    # CASE branches it would otherwise be parsed twice per row.
+    events = events.withColumn("_k", F.get_json_object("props", "$.k").try_cast("int"))
+    k = F.col("_k")
     lit = F.lit
     station_key = uid % 25
     # nation is a fixed 25-row dimension; the optimizer sees its file size and
@@ -84,10 +87,10 @@ def feedback_from_incidents(inc: DataFrame) -> DataFrame:
     f = fill_defaults(inc).filter((F.col("incident_id") % 4 == 0) & F.col("start_datetime").isNotNull())
     iid = F.col("incident_id")
     hour = F.hour("start_datetime")
-    sev = severity_expr(score_expr(cause_weight(F.col("event_cause")), F.col("priority"),
-                                   F.col("requires_road_closure"), F.col("corridor"), is_peak(hour)))
-    f = f.select("*", sev.alias("_pred"), hour.alias("_hour"),
-                 F.weekday("start_datetime").alias("_dow"))
+    f = f.withColumn("_score", score_expr(cause_weight(F.col("event_cause")), F.col("priority"),
+                                          F.col("requires_road_closure"), F.col("corridor"), is_peak(hour)))
+    f = f.select("*", severity_expr(F.col("_score")).alias("_pred"), hour.alias("_hour"),
+                 F.weekday("start_datetime").alias("_dow")).drop("_score")
     up = (F.when(F.col("_pred") == "Low", lit("Medium")).when(F.col("_pred") == "Medium", lit("High"))
           .otherwise(lit("Critical")))
     pred_dur = (lit(30) + (iid * 8) % 120).cast("double")
