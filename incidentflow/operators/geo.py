@@ -96,17 +96,38 @@ def ranked_arrays(top: DataFrame, key: str, name: str) -> DataFrame:
             .select(key, F.transform("_r", lambda x: x["junction"]).alias(name)))
 
 
+def ranked_junction_lists(history: DataFrame, keys=("police_station", "corridor"), k: int = 3) -> DataFrame:
+    """(kind, key, arr): the k most frequent junctions per value of every key column.
+
+    One scan and one partial/final aggregate for all keys together (rows are
+    tagged with their key column), then one window over the aggregated pairs;
+    the small result is written once to the shared folder.
+    """
+    tagged = history.filter(F.col("junction").isNotNull()).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key"))
+                            for c in keys])).alias("t"), "junction")
+    counts = (tagged.filter(F.col("t.key").isNotNull())
+              .groupBy(F.col("t.kind").alias("kind"), F.col("t.key").alias("key"), "junction")
+              .agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("kind", "key").orderBy(F.desc("n"), F.asc("junction"))
+    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    arr = (top.groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "junction"))).alias("_r"))
+           .select("kind", "key", F.transform("_r", lambda x: x["junction"]).alias("arr")))
+    return materialise(arr, "ranked_junctions")
+
+
 def suggest_junctions(requests: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
     """Station's top-k junctions, else the corridor's, else three fixed names.
 
-    Both ranked tables (one row per distinct station / corridor, at most k
-    names each) are written once and joined with a size-checked broadcast, so
-    the request side is never shuffled for them.
+    Both rankings come from one pass over the history (``ranked_junction_lists``);
+    each is joined with a size-checked broadcast, so the request side is never
+    shuffled for them.
     """
-    by_station = materialise(ranked_arrays(top_junctions(history, "police_station", k), "police_station", "_st"),
-                             "top_by_station")
-    by_corridor = materialise(ranked_arrays(top_junctions(history, "corridor", k), "corridor", "_co"),
-                              "top_by_corridor")
+    ranked = ranked_junction_lists(history, ("police_station", "corridor"), k)
+    by_station = ranked.filter(F.col("kind") == "police_station").select(
+        F.col("key").alias("police_station"), F.col("arr").alias("_st"))
+    by_corridor = ranked.filter(F.col("kind") == "corridor").select(
+        F.col("key").alias("corridor"), F.col("arr").alias("_co"))
     fallback = F.array(*[F.lit(j) for j in K.FALLBACK_JUNCTIONS])
     out = join_dim(join_dim(requests, by_station, "police_station"), by_corridor, "corridor")
     source = (F.when(F.col("_st").isNotNull(), F.lit("station"))

@@ -119,3 +119,16 @@ def test_top_junctions_and_fallback(spark):
     assert got[1] == (["J1", "J2", "J3"], "station")       # ties by name
     assert got[2] == (["J9"], "corridor")                    # station rows have no junction
     assert got[3] == (["Mekhri Circle", "Richmond Circle", "Silk Board Junction"], "default")
+
+
+def test_blueprint_paths_agree(spark):
+    """The one-pass dimension path equals the per-dimension path."""
+    from incidentflow.operators import clean as C
+    from incidentflow.operators import prescribe as P
+    from incidentflow.sources import fixtures as fx
+    inc = fx.incidents(spark, "/root/testdata/sf0.001")
+    req = fx.requests_from_incidents(inc)
+    a = P.blueprint_flat(req, C.serve_table(inc), train_table(inc))
+    b = P.blueprint_from_history(req, inc)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
