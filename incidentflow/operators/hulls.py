@@ -89,13 +89,26 @@ def prefilter(points: DataFrame, key: str = "police_station") -> DataFrame:
     return (ends.select(key, "latitude", F.explode(F.array_distinct(F.array("w", "e"))).alias("longitude")))
 
 
-def station_hulls(train: DataFrame, salts: int = 64) -> DataFrame:
-    """(police_station, ring [[lng, lat], ...] closed, n_vertices, degenerate)."""
+def station_hulls(train: DataFrame, salts: int | None = None, rows_per_group: int = 50_000) -> DataFrame:
+    """(police_station, ring [[lng, lat], ...] closed, n_vertices, degenerate).
+
+    Salting is per station: after the exact pre-filter, each station gets
+    ceil(points / ``rows_per_group``) salt buckets (a hot station many, a small
+    one a single group), so no grouped-pandas call holds more than about
+    ``rows_per_group`` points. ``salts`` forces a fixed count (tests).
+    """
+    from .dims import join_dim, materialise
     pts = wide_points(train)
     cents = centroids(pts, "police_station").select(F.col("name").alias("police_station"),
                                                     F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
-    reduced = prefilter(pts.select("police_station", "latitude", "longitude"))
-    salted = reduced.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.lit(salts)))
+    reduced = materialise(prefilter(pts.select("police_station", "latitude", "longitude")), "hull_points")
+    if salts is None:
+        per_station = reduced.groupBy("police_station").agg(
+            F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_group)))).alias("_salts"))
+        reduced = join_dim(reduced, per_station, "police_station", "inner")
+    else:
+        reduced = reduced.withColumn("_salts", F.lit(int(salts)))
+    salted = reduced.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.col("_salts")))
     level1 = salted.groupBy("police_station", "_salt").applyInPandas(
         _partial, "police_station string, longitude double, latitude double")
     level2_in = level1.join(cents, "police_station", "left")   # both sides: one row per station / vertex

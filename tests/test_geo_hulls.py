@@ -28,9 +28,9 @@ def _ring_set(ring):
     return {(round(a * 1e6), round(b * 1e6)) for a, b in ring[:-1]}
 
 
-@pytest.mark.parametrize("salts", [1, 7, 64])
+@pytest.mark.parametrize("salts", [None, 1, 7, 64])
 def test_hull_matches_single_pass(spark, salts):
-    random.seed(salts)
+    random.seed(salts or 0)
     pts = []
     for st in ("A", "B", "C"):
         for _ in range(300):
