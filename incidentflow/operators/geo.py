@@ -96,12 +96,11 @@ def ranked_arrays(top: DataFrame, key: str, name: str) -> DataFrame:
             .select(key, F.transform("_r", lambda x: x["junction"]).alias(name)))
 
 
-def ranked_junction_lists(history: DataFrame, keys=("police_station", "corridor"), k: int = 3) -> DataFrame:
-    """(kind, key, arr): the k most frequent junctions per value of every key column.
+def top_junctions_multi(history: DataFrame, keys=("police_station", "corridor"), k: int = 3) -> DataFrame:
+    """(kind, key, rank, junction, n): D12 for several key columns in one pass.
 
-    One scan and one partial/final aggregate for all keys together (rows are
-    tagged with their key column), then one window over the aggregated pairs;
-    the small result is written once to the shared folder.
+    Rows are tagged with each key column, counted by one partial/final
+    aggregate, and ranked by one window over the aggregated pairs.
     """
     tagged = history.filter(F.col("junction").isNotNull()).select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key"))
@@ -110,7 +109,14 @@ def ranked_junction_lists(history: DataFrame, keys=("police_station", "corridor"
               .groupBy(F.col("t.kind").alias("kind"), F.col("t.key").alias("key"), "junction")
               .agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("kind", "key").orderBy(F.desc("n"), F.asc("junction"))
-    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (counts.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
+            .select("kind", "key", "rank", "junction", "n"))
+
+
+def ranked_junction_lists(history: DataFrame, keys=("police_station", "corridor"), k: int = 3) -> DataFrame:
+    """(kind, key, arr): the k most frequent junctions per value of every key column,
+    from one pass (``top_junctions_multi``), written once to the shared folder."""
+    top = top_junctions_multi(history, keys, k)
     arr = (top.groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "junction"))).alias("_r"))
            .select("kind", "key", F.transform("_r", lambda x: x["junction"]).alias("arr")))
     return materialise(arr, "ranked_junctions")

@@ -57,11 +57,9 @@ UNION ALL
 SELECT 'corridor', corridor, rank, junction, n FROM tj_co_r WHERE rank <= 3""")
 def top_junctions(spark, sf):
     serve = C.serve_table(fx.incidents(spark, sf))
-    st = GEO.top_junctions(serve, "police_station").select(
-        F.lit("station").alias("kind"), F.col("police_station").alias("key"), "rank", "junction", "n")
-    co = GEO.top_junctions(serve, "corridor").select(
-        F.lit("corridor").alias("kind"), F.col("corridor").alias("key"), "rank", "junction", "n")
-    return st.unionByName(co)
+    t = GEO.top_junctions_multi(serve, ("police_station", "corridor"))
+    kind = F.when(F.col("kind") == "police_station", F.lit("station")).otherwise(F.lit("corridor"))
+    return t.withColumn("kind", kind)
 
 
 def _suggestions(spark, sf):
