@@ -45,7 +45,8 @@ def hour_distribution(df: DataFrame, ts: str = "start_datetime") -> DataFrame:
     spark = df.sparkSession
     hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
     counts = hour_counts(df, ts)
-    return (hours.join(counts, "hour", "left")
+    # the counts side has at most 24 rows (hour of day): a proven bound
+    return (hours.join(F.broadcast(counts), "hour", "left")
             .select("hour", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 

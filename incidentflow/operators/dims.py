@@ -39,8 +39,18 @@ def broadcast_limit(df: DataFrame) -> int:
     return max(v, DEFAULT_LIMIT) if v > 0 else DEFAULT_LIMIT
 
 
-def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a dimension: broadcast when its measured size is under the limit, else shuffle."""
-    if size_in_bytes(dim) <= broadcast_limit(dim):
+def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "left", name: str = "dim") -> DataFrame:
+    """Join a dimension with a checked size.
+
+    1. the optimizer's estimate is under the limit -> broadcast;
+    2. else the dimension is written once to the shared folder and its real
+       size read back -> broadcast if under the limit;
+    3. else an ordinary shuffled join on the written copy.
+    """
+    limit = broadcast_limit(dim)
+    if size_in_bytes(dim) <= limit:
+        return big.join(F.broadcast(dim), on, how)
+    dim = materialise(dim, name)
+    if size_in_bytes(dim) <= limit:
         return big.join(F.broadcast(dim), on, how)
     return big.join(dim, on, how)

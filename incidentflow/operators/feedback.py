@@ -165,7 +165,7 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
     w = Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     local = chunked.select("chunk", "seq", F.count(F.lit(1)).over(w).alias("l_n"),
                            F.sum("hit").over(w).alias("l_hits"), F.sum("err").over(w).alias("l_err"))
-    j = local.join(offsets, "chunk")
+    j = local.join(F.broadcast(offsets), "chunk")   # one row per range: bounded by ``chunks``
     n = F.col("off_n") + F.col("l_n")
     return (j.select(
         n.cast("long").alias("event_count"),

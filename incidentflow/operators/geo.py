@@ -163,26 +163,42 @@ def meta_summary(train: DataFrame, polygons: DataFrame | None = None) -> DataFra
     """One-row metadata (D23): the five sorted option lists, both centroid maps and
     the station polygons.
 
-    Every part is an aggregate over a dimension (one row per distinct station,
-    corridor, cause, type, junction), so the single row is bounded by the
-    dimension sizes, not by the history. The parts are joined on a constant
-    key of one-row aggregates (no cross join).
+    Every part is a dimension (one row per distinct station, corridor, cause,
+    type, junction). The parts are stacked into one long table and folded by a
+    single global aggregate with per-part conditional collections: no join.
+    The one row is bounded by the dimension sizes, not by the history.
     """
+    geom_t = "struct<type:string,coordinates:array<array<array<double>>>>"
+    nul = F.lit(None)
+
+    def part(df, kind, name, lat=None, lng=None, geom=None):
+        return df.select(F.lit(kind).alias("part"), name.cast("string").alias("name"),
+                         (lat if lat is not None else nul).cast("double").alias("lat"),
+                         (lng if lng is not None else nul).cast("double").alias("lng"),
+                         (geom if geom is not None else nul).cast(geom_t).alias("geometry"))
+
     lists = option_lists(train)
-    parts = lists.groupBy("list").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    wide = parts.groupBy().pivot("list", ["police_stations", "corridors", "event_causes", "event_types",
-                                          "junctions"]).agg(F.first("values"))
-
-    def as_map(dim, name):
-        return dim.agg(F.map_from_entries(F.collect_list(
-            F.struct("name", F.struct("lat", "lng")))).alias(name))
-
-    out = wide.withColumn("_k", F.lit(1))
-    for part in (as_map(station_centroids(train), "station_coords"),
-                 as_map(junction_centroids(train), "junction_coords")):
-        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    stacked = lists.select(F.col("list").alias("part"), F.col("value").alias("name"),
+                           nul.cast("double").alias("lat"), nul.cast("double").alias("lng"),
+                           nul.cast(geom_t).alias("geometry"))
+    stacked = stacked.unionByName(part(station_centroids(train), "station_coords", F.col("name"),
+                                       F.col("lat"), F.col("lng")))
+    stacked = stacked.unionByName(part(junction_centroids(train), "junction_coords", F.col("name"),
+                                       F.col("lat"), F.col("lng")))
+    if polygons is not None:
+        stacked = stacked.unionByName(part(polygons, "station_polygons", F.col("police_station"),
+                                           geom=F.col("geometry")))
+
+    def names(p):
+        return F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("name")))).alias(p)
+
+    def coords(p):
+        entry = F.when(F.col("part") == p, F.struct("name", F.struct("lat", "lng")))
+        return F.map_from_entries(F.collect_list(entry)).alias(p)
+
+    aggs = [names(p) for p in ("police_stations", "corridors", "event_causes", "event_types", "junctions")]
+    aggs += [coords("station_coords"), coords("junction_coords")]
     if polygons is not None:
-        pm = polygons.agg(F.map_from_entries(F.collect_list(F.struct("police_station", "geometry")))
-                          .alias("station_polygons"))
-        out = out.join(pm.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+        aggs.append(F.map_from_entries(F.collect_list(
+            F.when(F.col("part") == "station_polygons", F.struct("name", "geometry")))).alias("station_polygons"))
+    return stacked.agg(*aggs)

@@ -111,7 +111,7 @@ def station_hulls(train: DataFrame, salts: int | None = None, rows_per_group: in
     salted = reduced.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.col("_salts")))
     level1 = salted.groupBy("police_station", "_salt").applyInPandas(
         _partial, "police_station string, longitude double, latitude double")
-    level2_in = level1.join(cents, "police_station", "left")   # both sides: one row per station / vertex
+    level2_in = join_dim(level1, cents, "police_station", "left", name="hull_centroids")
     return level2_in.groupBy("police_station").applyInPandas(
         _final, "police_station string, ring array<array<double>>, n_vertices int, degenerate boolean")
 
@@ -133,10 +133,12 @@ def to_geojson(hulls: DataFrame) -> DataFrame:
 
 def attach_jurisdiction(requests: DataFrame, hulls: DataFrame, station_dim: DataFrame) -> DataFrame:
     """Station polygon if one exists, else a 2,200 m circle on the centroid, else none."""
+    from .dims import join_dim
     h = hulls.select("police_station", F.col("ring").alias("_ring"))
     c = station_dim.select(F.col("name").alias("police_station"), F.col("lat").alias("center_lat"),
                            F.col("lng").alias("center_lng"))
-    out = requests.join(h, "police_station", "left").join(c, "police_station", "left")
+    out = join_dim(join_dim(requests, h, "police_station", name="hulls"), c, "police_station",
+                   name="station_centroids")
     kind = (F.when(F.col("_ring").isNotNull(), F.lit("polygon"))
             .when(F.col("center_lat").isNotNull(), F.lit("circle")).otherwise(F.lit("none")))
     return (out.withColumn("jurisdiction_kind", kind)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .dims import join_dim
 
 LABEL_ORDER = K.SEVERITY_LEVELS
 
@@ -49,7 +50,7 @@ def encode(df: DataFrame, vocab: DataFrame, columns=K.CATEGORICAL_FEATURES, suff
     for c in columns:
         v = vocab.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                       F.col("code").alias(f"_c_{c}"))
-        df = df.withColumn(f"_v_{c}", _cat(c)).join(v, f"_v_{c}", "left")
+        df = join_dim(df.withColumn(f"_v_{c}", _cat(c)), v, f"_v_{c}", "left", name=f"vocab_{c}")
         df = (df.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_c_{c}"), F.lit(int(unk.get(c, 0)))))
               .drop(f"_v_{c}", f"_c_{c}"))
     return df

@@ -89,7 +89,8 @@ def station_equality_filter(spark, sf):
     counts = (serve.filter(F.col("junction").isNotNull()).groupBy("police_station")
               .agg(F.count(F.lit(1)).alias("n")))
     req = fx.requests_from_incidents(inc)
-    return (req.join(counts, "police_station", "left")
+    from ..operators.dims import join_dim
+    return (join_dim(req, counts, "police_station", name="station_counts")
             .select("request_id", "police_station",
                     F.coalesce(F.col("n"), F.lit(0)).alias("station_history_rows")))
 
