@@ -163,10 +163,9 @@ SELECT request_id, '{leg}', CAST({base_seq} + 13 AS INTEGER), round({lat2}, 6),
 def curve_points(spark, sf):
     """Fallback curved path of every request's closed segment: 14 points."""
     r = fx.requests(spark, sf)
-    leg = G.curve_points("latitude", "longitude", "dest_lat", "dest_lng")
-    return (r.select("request_id", F.posexplode(leg).alias("pos", "p"))
-            .select("request_id", F.lit("affected").alias("route"), F.col("pos").cast("int").alias("seq"),
-                    r6("p.lat").alias("lat"), r6("p.lng").alias("lng")))
+    rows = G.curve_rows(r, "request_id", [("latitude", "longitude", "dest_lat", "dest_lng")])
+    return rows.select("request_id", F.lit("affected").alias("route"), "seq", r6("lat").alias("lat"),
+                       r6("lng").alias("lng"))
 
 
 @register("path_concat", S.with_ctes(S.INC, S.FILLED, S.REQ, T_VALUES) + """
@@ -197,8 +196,6 @@ def path_concat(spark, sf):
     r = fx.requests(spark, sf)
     w_lat, w_lng = G.detour_waypoint("latitude", "longitude", "dest_lat", "dest_lng", 1)
     r = r.withColumn("w_lat", w_lat).withColumn("w_lng", w_lng)
-    path = G.path_concat(G.curve_points("latitude", "longitude", "w_lat", "w_lng"),
-                         G.curve_points("w_lat", "w_lng", "dest_lat", "dest_lng"))
-    return (r.select("request_id", F.posexplode(path).alias("pos", "p"))
-            .select("request_id", F.col("pos").cast("int").alias("seq"), r6("p.lat").alias("lat"),
-                    r6("p.lng").alias("lng")))
+    rows = G.curve_rows(r, "request_id", [("latitude", "longitude", "w_lat", "w_lng"),
+                                          ("w_lat", "w_lng", "dest_lat", "dest_lng")])
+    return rows.select("request_id", "seq", r6("lat").alias("lat"), r6("lng").alias("lng"))
