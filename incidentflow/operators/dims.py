@@ -54,3 +54,9 @@ def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "left", name: str =
     if size_in_bytes(dim) <= limit:
         return big.join(F.broadcast(dim), on, how)
     return big.join(dim, on, how)
+
+
+def sized(df: DataFrame, name: str = "dim") -> DataFrame:
+    """``df`` itself when its estimate is under the broadcast limit, else a written copy
+    (exact size, lineage cut) - for a small table that several joins will read."""
+    return df if size_in_bytes(df) <= broadcast_limit(df) else materialise(df, name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .dims import join_dim
+from .dims import join_dim, materialise as _dims_materialise
 
 LABEL_ORDER = K.SEVERITY_LEVELS
 
@@ -45,6 +45,8 @@ def encode(df: DataFrame, vocab: DataFrame, columns=K.CATEGORICAL_FEATURES, suff
     shuffles otherwise. The per-column ``Unknown`` codes are at most one scalar
     per column and are read once.
     """
+    from .dims import sized
+    vocab = sized(vocab, "vocab")   # one pass to build it, whatever the number of columns
     unk = {r["feature"]: r["code"] for r in
            vocab.filter(F.col("value") == K.UNKNOWN).select("feature", "code").collect()}
     for c in columns:
@@ -162,10 +164,7 @@ def regressor_rows(train: DataFrame, fb: DataFrame) -> DataFrame:
 def _materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: lineage is cut and the
     table survives the loss of any executor during the iterative fits."""
-    from ..session import work_path
-    path = work_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _dims_materialise(df, name)
 
 
 def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_trees: int = 100,
