@@ -22,8 +22,26 @@ FIXTURE_CAUSES = ("accident", "protest", "procession", "public_event", "vip_move
                   "road_conditions", "congestion", "vehicle_breakdown", "others")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it yields fewer splits than task slots.
+
+    A Parquet file with one row group is one split, so every narrow stage over
+    it would run in a single task. Below the session's parallelism the rows are
+    dealt round-robin once; a large input (more splits than slots) is left as is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+# Tables that feed per-row work; small dimensions (nation) are left alone.
+_BALANCE = {"events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if name in _BALANCE else df
 
 
 def incidents_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
