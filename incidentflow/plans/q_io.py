@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feedback as FB
 from ..operators import geo as GEO
 from ..operators import learn as L
 from ..operators.features import train_table

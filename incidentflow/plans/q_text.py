@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import geomath as G
 from ..functions import text as TX
 from ..functions.numeric import py_round
