@@ -10,8 +10,9 @@ Scale plan (a station may hold a third of all rows):
 3. Level 2: the hull of a union is the hull of the partial hulls, so the few
    partial vertices per station are merged in one small group per station.
 
-Orientation tests use integer micro-degrees, so collinear points are detected
-exactly and dropped, as in the monotone-chain original.
+Each group's hull is an exact integer quickhull (numpy-vectorised side tests
+on micro-degree coordinates), so collinear points are detected exactly and
+never become vertices.
 """
 
 from __future__ import annotations
@@ -27,43 +28,48 @@ from .geo import centroids, wide_points
 MICRO = 1_000_000
 
 
-def monotone_chain(points):
-    """Counter-clockwise hull of (x, y) integer pairs, collinear points dropped.
+def _right_of(p, q, pts: np.ndarray) -> np.ndarray:
+    """How far each point lies to the right of the directed line p -> q (exact int64, scaled)."""
+    return (q[1] - p[1]) * (pts[:, 0] - p[0]) - (q[0] - p[0]) * (pts[:, 1] - p[1])
 
-    Starts at the smallest (x, y); returns the vertex list (not closed).
-    """
-    pts = sorted(set(points))
-    if len(pts) <= 2:
-        return pts
 
-    def cross(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+def _chain(p, q, pts: np.ndarray) -> list:
+    """Hull vertices strictly right of p -> q, in walking order from p to q (quickhull step)."""
+    if len(pts) == 0:
+        return []
+    d = _right_of(p, q, pts)
+    far = pts[int(np.argmax(d))]
+    left_part = pts[_right_of(p, far, pts) > 0]
+    right_part = pts[_right_of(far, q, pts) > 0]
+    return _chain(p, far, left_part) + [tuple(far)] + _chain(far, q, right_part)
 
-    lower, upper = [], []
-    for p in pts:
-        while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
-            lower.pop()
-        lower.append(p)
-    for p in reversed(pts):
-        while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
-            upper.pop()
-        upper.append(p)
-    return lower[:-1] + upper[:-1]
+
+def convex_hull(points) -> list:
+    """Counter-clockwise hull vertices of integer (x, y) points, starting at the smallest
+    (x, y); points on an edge are not vertices. Exact: all tests are integer cross products."""
+    pts = np.unique(np.asarray(list(points), dtype=np.int64).reshape(-1, 2), axis=0)   # sorted by (x, y)
+    if len(pts) <= 2:
+        return [tuple(v) for v in pts]
+    a, b = pts[0], pts[-1]
+    below = pts[_right_of(a, b, pts) > 0]
+    above = pts[_right_of(b, a, pts) > 0]
+    hull = [tuple(a)] + _chain(a, b, below) + [tuple(b)] + _chain(b, a, above)
+    return hull if len(hull) >= 3 else [tuple(a), tuple(b)]
 
 
-def _hull_frame(pdf: pd.DataFrame, key: str) -> list:
-    """Hull vertices of one group as (lng, lat) doubles, keyed by micro-degree integers."""
+def _hull_frame(pdf: pd.DataFrame) -> list:
+    """Hull vertices of one group as (lng, lat) doubles, computed on micro-degree integers."""
     x = np.rint(pdf["longitude"].to_numpy() * MICRO).astype(np.int64)
     y = np.rint(pdf["latitude"].to_numpy() * MICRO).astype(np.int64)
     # keep the first original double for each micro-degree point
     orig = {}
     for xi, yi, lng, lat in zip(x.tolist(), y.tolist(), pdf["longitude"].tolist(), pdf["latitude"].tolist()):
         orig.setdefault((xi, yi), (lng, lat))
-    return [orig[p] for p in monotone_chain(list(orig))]
+    return [orig[(int(px), int(py))] for px, py in convex_hull(list(orig))]
 
 
 def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    verts = _hull_frame(pdf, "police_station")
+    verts = _hull_frame(pdf)
     st = pdf["police_station"].iloc[0]
     return pd.DataFrame({"police_station": [st] * len(verts),
                          "longitude": [v[0] for v in verts], "latitude": [v[1] for v in verts]})
@@ -71,7 +77,7 @@ def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _final(pdf: pd.DataFrame) -> pd.DataFrame:
     st = pdf["police_station"].iloc[0]
-    verts = _hull_frame(pdf, "police_station")
+    verts = _hull_frame(pdf)
     degenerate = len(verts) < 3
     if degenerate:
         clat, clng, d = float(pdf["c_lat"].iloc[0]), float(pdf["c_lng"].iloc[0]), K.HULL_PAD

@@ -1,6 +1,6 @@
 import random
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,10 +18,23 @@ def _train(spark, pts):
 
 
 def _brute_vertices(points):
-    """Hull vertices by definition: p is a vertex iff it is not inside or on an edge of the
-    hull of the other points (checked with the plain chain on the full set)."""
-    micro = {(round(lng * 1e6), round(lat * 1e6)) for lat, lng in points}
-    return set(H.monotone_chain(list(micro)))
+    """Hull vertices by definition, O(n^3): for every ordered pair (p, q) with no point
+    strictly right of p -> q, the two extreme points on that line are vertices."""
+    pts = np.unique(np.array([(round(lng * 1e6), round(lat * 1e6)) for lat, lng in points], dtype=np.int64), axis=0)
+    if len(pts) <= 2:
+        return {tuple(int(v) for v in x) for x in pts}
+    verts = set()
+    for i in range(len(pts)):
+        d = pts - pts[i]
+        c = d[:, 0][:, None] * d[:, 1][None, :] - d[:, 1][:, None] * d[:, 0][None, :]   # c[j, r]
+        ok = (c >= 0).all(axis=1)
+        ok[i] = False
+        for j in np.nonzero(ok)[0]:
+            on = np.nonzero(c[j] == 0)[0]
+            t = d[on, 0] * d[j, 0] + d[on, 1] * d[j, 1]
+            verts.add(tuple(int(v) for v in pts[on[np.argmin(t)]]))
+            verts.add(tuple(int(v) for v in pts[on[np.argmax(t)]]))
+    return verts
 
 
 def _ring_set(ring):
