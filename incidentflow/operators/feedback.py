@@ -122,7 +122,8 @@ def stats_from_sums(agg: DataFrame) -> DataFrame:
     )
 
 
-def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: int | None = None) -> DataFrame:
+def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: int | None = None,
+                   rows_per_chunk: int = 5_000_000) -> DataFrame:
     """Accuracy % and MAE over the first i ledger rows for every i >= ``start``.
 
     Two passes instead of one global running window (which would sort the whole
@@ -137,7 +138,9 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
     """
     spark = fb.sparkSession
     if chunks is None:
-        chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # enough ranges for the cluster, and none larger than ``rows_per_chunk`` rows
+        n_rows = fb.count()
+        chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // rows_per_chunk))
     base = fb.select(
         "seq",
         F.when(F.col("predicted_severity") == F.col("actual_severity"), 1).otherwise(0).alias("hit"),
@@ -146,7 +149,8 @@ def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: i
     # boundaries reach the driver), so ranges hold similar row counts even when
     # seq values cluster. Any boundaries give the exact result; they only
     # balance the work.
-    qs = base.approxQuantile("seq", [i / chunks for i in range(1, chunks)], 0.001) if chunks > 1 else []
+    rel_err = min(0.001, 0.25 / chunks)
+    qs = base.approxQuantile("seq", [i / chunks for i in range(1, chunks)], rel_err) if chunks > 1 else []
     splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
     if len(splits) < 3:
         chunked = base.withColumn("chunk", F.lit(0.0))
