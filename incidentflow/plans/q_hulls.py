@@ -67,3 +67,41 @@ def nearest_points(spark, sf):
     jdim = GEO.junction_centroids(train_table(inc))
     out = N.nearest(serve, jdim, "incident_id", k=3)
     return out.select("incident_id", "rank", "junction", F.round("dist_m", 3).alias("dist_m"))
+
+
+HULL_SQL = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.WPTS) + """
+, pts AS (
+  SELECT DISTINCT police_station, CAST(round(longitude * 1000000.0::DOUBLE) AS BIGINT) AS x,
+                  CAST(round(latitude * 1000000.0::DOUBLE) AS BIGINT) AS y FROM wpts),
+  sup AS (   -- ordered pairs (a, b) with no point strictly right of a -> b
+  SELECT a.police_station, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM pts a JOIN pts b
+    ON a.police_station = b.police_station AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.police_station = a.police_station
+                    AND (b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) < 0)),
+  vtx AS (   -- a is a vertex when nothing on the supporting line lies behind it
+  SELECT DISTINCT s.police_station, s.ax AS x, s.ay AS y FROM sup s
+  WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.police_station = s.police_station
+                    AND (s.bx - s.ax) * (r.y - s.ay) - (s.by - s.ay) * (r.x - s.ax) = 0
+                    AND (r.x - s.ax) * (s.bx - s.ax) + (r.y - s.ay) * (s.by - s.ay) < 0)),
+  nv AS (SELECT police_station, count(*) AS n FROM vtx GROUP BY 1),
+  st AS (SELECT DISTINCT police_station FROM pts),
+  sq AS (   -- fewer than three vertices: the square around the station centroid
+  SELECT st.police_station, CAST(round((d.lng + cx) * 1000000.0::DOUBLE) AS BIGINT) AS x,
+         CAST(round((d.lat + cy) * 1000000.0::DOUBLE) AS BIGINT) AS y
+  FROM st LEFT JOIN nv ON nv.police_station = st.police_station
+          JOIN sdim d ON d.name = st.police_station,
+       (VALUES (-0.015::DOUBLE, -0.015::DOUBLE), (0.015::DOUBLE, -0.015::DOUBLE),
+               (0.015::DOUBLE, 0.015::DOUBLE), (-0.015::DOUBLE, 0.015::DOUBLE)) c(cx, cy)
+  WHERE coalesce(nv.n, 0) < 3)
+SELECT v.police_station, v.x, v.y FROM vtx v JOIN nv ON nv.police_station = v.police_station WHERE nv.n >= 3
+UNION ALL SELECT police_station, x, y FROM sq"""
+
+
+@register("hull_vertices", HULL_SQL)
+def hull_vertices(spark, sf):
+    """Hull vertices per station as integer micro-degree points (D10, oracle form)."""
+    h = H.station_hulls(train_table(fx.incidents(spark, sf)))
+    v = h.select("police_station", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p"))
+    return v.select("police_station",
+                    F.round(F.col("p")[0] * F.lit(1e6)).cast("long").alias("x"),
+                    F.round(F.col("p")[1] * F.lit(1e6)).cast("long").alias("y"))
