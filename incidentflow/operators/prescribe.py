@@ -299,11 +299,24 @@ def dims_top_arrays(ranked: DataFrame, kind: str, key: str, name: str) -> DataFr
     return ranked.filter(F.col("kind") == kind).select(F.col("k1").alias(key), F.col("arr").alias(name))
 
 
-def blueprint_from_history(requests: DataFrame, incidents: DataFrame, k: int = 3) -> DataFrame:
-    """``blueprint_flat`` with every dimension taken from one pass over the history."""
+def blueprint_from_history(requests: DataFrame, incidents: DataFrame, k: int = 3, models=None) -> DataFrame:
+    """``blueprint_flat`` with every dimension taken from one pass over the history.
+
+    ``models`` = (vocab, severity model, duration model) as returned by
+    ``learn.load_models`` switches the forecast from the exact rule path to the
+    model path: the forests' severity label and raw duration, then the same
+    calibration, plan, junction suggestions and points.
+    """
     d = history_dims(incidents)
-    df = with_rule_severity(requests)
-    df = join_dim(df, dims_duration_baseline(d), ["event_cause", "predicted_severity"])
+    if models is None:
+        df = with_rule_severity(requests)
+        df = join_dim(df, dims_duration_baseline(d), ["event_cause", "predicted_severity"])
+    else:
+        from .learn import predict_requests
+        vocab, sev_model, dur_model = models
+        pred = predict_requests(requests, vocab, sev_model, dur_model)
+        df = pred.select(*requests.columns, F.col("model_severity").alias("predicted_severity"),
+                         F.col("model_duration").cast("double").alias("_base_duration"))
     raw = F.coalesce(F.col("_base_duration"), F.lit(K.FALLBACK_DURATION))
     df = df.withColumn("_cal_raw", calibrate_raw(raw, F.col("event_cause")))
     df = (df.withColumn("predicted_duration_minutes", finish_duration(F.col("_cal_raw")))

@@ -65,3 +65,20 @@ def test_stream_ingest_is_idempotent_and_stats_match(spark):
     out = os.path.join(base, "stats")
     ST.running_stats(closures(), out, os.path.join(base, "ckpt2")).awaitTermination()
     assert tuple(spark.read.parquet(out).first()) == tuple(FB.feedback_stats(batch).first())
+
+
+def test_blueprint_model_path(spark):
+    from incidentflow.operators import prescribe as P
+    from incidentflow.session import work_path
+    inc = fx.incidents(spark, SF001)
+    out = work_path(spark, "test-models")
+    L.retrain(train_table(inc), fx.feedback_from_incidents(inc), out_dir=out, num_trees=5, max_depth=5)
+    models = L.load_models(out)
+    req = fx.requests_from_incidents(inc)
+    bp = P.blueprint_from_history(req, inc, models=models)
+    rows = bp.collect()
+    assert len(rows) == req.count()
+    assert {r.predicted_severity for r in rows} <= {"Low", "Medium", "High", "Critical"}
+    assert all(r.predicted_duration_minutes >= 10.0 for r in rows)
+    plan = {"Low": 2, "Medium": 4, "High": 8, "Critical": 15}
+    assert all(r.recommended_headcount == plan[r.predicted_severity] for r in rows)
