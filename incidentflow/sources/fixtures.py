@@ -91,16 +91,6 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents_from_events(table(spark, sf_dir, "events"), table(spark, sf_dir, "nation"))
 
 
-def _plan_int(sev, idx: int):
-    """Officers (idx 1) or barricades (idx 2) of the resource plan as a CASE."""
-    expr = None
-    for row in K.RESOURCE_PLAN:
-        expr = (F.when(sev == row[0], F.lit(row[idx])) if expr is None
-                else expr.when(sev == row[0], F.lit(row[idx])))
-    fallback = [r for r in K.RESOURCE_PLAN if r[0] == K.PLAN_FALLBACK][0]
-    return expr.otherwise(F.lit(fallback[idx]))
-
-
 def feedback_from_incidents(inc: DataFrame) -> DataFrame:
     """A closure ledger: every 4th incident with a start; see FIXTURES.md section 4."""
     lit = F.lit
@@ -114,8 +104,9 @@ def feedback_from_incidents(inc: DataFrame) -> DataFrame:
     up = (F.when(F.col("_pred") == "Low", lit("Medium")).when(F.col("_pred") == "Medium", lit("High"))
           .otherwise(lit("Critical")))
     pred_dur = (lit(30) + (iid * 8) % 120).cast("double")
-    rec_off = _plan_int(F.col("_pred"), 1)
-    rec_bar = _plan_int(F.col("_pred"), 2)
+    from ..operators.prescribe import plan_columns
+    plan = plan_columns(F.col("_pred"))
+    rec_off, rec_bar = plan["officers"], plan["barricades"]
     rating = (lit(1) + (iid * 7) % 5).cast("int")
     old = iid % 20 == 0     # the oldest rows carry no feature fields
 
