@@ -134,3 +134,37 @@ def cause_category(cause):
         expr = (F.when(c.contains(needle), F.lit(cat)) if expr is None
                 else expr.when(c.contains(needle), F.lit(cat)))
     return expr.otherwise(F.lit(K.CAUSE_CATEGORY_DEFAULT))
+
+
+def analytics_document(serve: DataFrame, sample: int = K.SAMPLE_SIZE) -> DataFrame:
+    """The analytics response as one row (D21): total, cause / priority / closure /
+    station / corridor count maps, the 24-hour histogram and the map-point sample.
+
+    Counts come from the one-shuffle long form; hours are zero-filled; the sample is
+    the seeded top-n. The parts are stacked and folded by a single conditional
+    aggregate (no join); the row is bounded by distinct labels plus ``sample``.
+    """
+    long = analytics_long(serve)
+    hours = hour_distribution(serve).select(F.lit("hour").alias("section"),
+                                            F.col("hour").cast("string").alias("label"), "n")
+    counts = long.filter(F.col("section") != "hour").unionByName(hours)
+    pts = sample_n(serve.select("incident_id", "latitude", "longitude", "event_cause", "priority",
+                                "requires_road_closure"), sample)
+    point_t = ("struct<latitude:double,longitude:double,event_cause:string,priority:string,"
+               "requires_road_closure:boolean>")
+    stacked = (counts.select("section", "label", "n", F.lit(None).cast(point_t).alias("point"))
+               .unionByName(pts.select(F.lit("sample").alias("section"), F.lit(None).cast("string").alias("label"),
+                                       F.lit(None).cast("long").alias("n"),
+                                       F.struct("latitude", "longitude", "event_cause", "priority",
+                                                "requires_road_closure").alias("point"))))
+
+    def as_map(section, name):
+        e = F.when(F.col("section") == section, F.struct("label", "n"))
+        return F.map_from_entries(F.collect_list(e)).alias(name)
+
+    return stacked.agg(
+        F.max(F.when(F.col("section") == "total", F.col("n"))).alias("total_incidents"),
+        F.collect_list(F.when(F.col("section") == "sample", F.col("point"))).alias("map_points"),
+        as_map("cause", "cause_counts"), as_map("hour", "hour_distribution"),
+        as_map("priority", "priority_counts"), as_map("closure", "closure_counts"),
+        as_map("station", "station_counts"), as_map("corridor", "corridor_counts"))

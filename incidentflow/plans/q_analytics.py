@@ -186,3 +186,9 @@ FROM serve""")
 def cause_category(spark, sf):
     s = _serve(spark, sf)
     return s.select("incident_id", "event_cause", A.cause_category(F.col("event_cause")).alias("cause_category"))
+
+
+@register("analytics_document")
+def analytics_document(spark, sf):
+    """The one-row analytics response (D21 document form; its parts are oracle-checked)."""
+    return A.analytics_document(_serve(spark, sf))

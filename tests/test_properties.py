@@ -53,3 +53,16 @@ def test_duration_forest_beats_mean(spark):
     mean = train.agg(F.sum(F.col("duration_min") * F.col("weight")) / F.sum("weight")).first()[0]
     base = test.agg(F.avg(F.abs(F.col("duration_min") - F.lit(mean)))).first()[0]
     assert mae <= base
+
+
+def test_analytics_document_parts(spark):
+    from incidentflow.operators import analytics as A
+    from incidentflow.operators import clean as C
+    serve = C.serve_table(fx.incidents(spark, SF001))
+    d = A.analytics_document(serve).first()
+    assert d.total_incidents == serve.count()
+    assert len(d.map_points) == min(120, serve.count())
+    assert sorted(d.hour_distribution) == [str(h) for h in sorted(range(24), key=str)]
+    assert sum(d.hour_distribution.values()) == serve.filter("start_datetime IS NOT NULL").count()
+    top = {r.event_cause: r.n for r in A.value_counts(serve, "event_cause", k=10).collect()}
+    assert dict(d.cause_counts) == top and len(d.station_counts) <= 8
