@@ -73,16 +73,19 @@ HULL_SQL = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.WPTS) + """
 , pts AS (
   SELECT DISTINCT police_station, CAST(round(longitude * 1000000.0::DOUBLE) AS BIGINT) AS x,
                   CAST(round(latitude * 1000000.0::DOUBLE) AS BIGINT) AS y FROM wpts),
-  sup AS (   -- ordered pairs (a, b) with no point strictly right of a -> b
+  pairs AS (
   SELECT a.police_station, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM pts a JOIN pts b
-    ON a.police_station = b.police_station AND (a.x <> b.x OR a.y <> b.y)
-  WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.police_station = a.police_station
-                    AND (b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) < 0)),
+    ON a.police_station = b.police_station AND (a.x <> b.x OR a.y <> b.y)),
+  sup AS (   -- ordered pairs (a, b) with no point strictly right of a -> b
+  SELECT p.police_station, p.ax, p.ay, p.bx, p.by FROM pairs p JOIN pts r ON r.police_station = p.police_station
+  GROUP BY p.police_station, p.ax, p.ay, p.bx, p.by
+  HAVING min((p.bx - p.ax) * (r.y - p.ay) - (p.by - p.ay) * (r.x - p.ax)) >= 0),
   vtx AS (   -- a is a vertex when nothing on the supporting line lies behind it
-  SELECT DISTINCT s.police_station, s.ax AS x, s.ay AS y FROM sup s
-  WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE r.police_station = s.police_station
-                    AND (s.bx - s.ax) * (r.y - s.ay) - (s.by - s.ay) * (r.x - s.ax) = 0
-                    AND (r.x - s.ax) * (s.bx - s.ax) + (r.y - s.ay) * (s.by - s.ay) < 0)),
+  SELECT DISTINCT police_station, x, y FROM (
+    SELECT s.police_station, s.ax AS x, s.ay AS y FROM sup s JOIN pts r ON r.police_station = s.police_station
+    GROUP BY s.police_station, s.ax, s.ay, s.bx, s.by
+    HAVING min(CASE WHEN (s.bx - s.ax) * (r.y - s.ay) - (s.by - s.ay) * (r.x - s.ax) = 0
+                    THEN (r.x - s.ax) * (s.bx - s.ax) + (r.y - s.ay) * (s.by - s.ay) END) >= 0)),
   nv AS (SELECT police_station, count(*) AS n FROM vtx GROUP BY 1),
   st AS (SELECT DISTINCT police_station FROM pts),
   sq AS (   -- fewer than three vertices: the square around the station centroid
