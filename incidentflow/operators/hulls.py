@@ -58,14 +58,24 @@ def convex_hull(points) -> list:
 
 
 def _hull_frame(pdf: pd.DataFrame) -> list:
-    """Hull vertices of one group as (lng, lat) doubles, computed on micro-degree integers."""
-    x = np.rint(pdf["longitude"].to_numpy() * MICRO).astype(np.int64)
-    y = np.rint(pdf["latitude"].to_numpy() * MICRO).astype(np.int64)
-    # keep the first original double for each micro-degree point
-    orig = {}
-    for xi, yi, lng, lat in zip(x.tolist(), y.tolist(), pdf["longitude"].tolist(), pdf["latitude"].tolist()):
-        orig.setdefault((xi, yi), (lng, lat))
-    return [orig[(int(px), int(py))] for px, py in convex_hull(list(orig))]
+    """Hull vertices of one group as (lng, lat) doubles, computed on micro-degree integers.
+
+    Vectorised: duplicates collapse with ``np.unique`` (keeping the first original
+    double of each micro-degree point); only hull vertices are mapped back.
+    """
+    lng = pdf["longitude"].to_numpy(dtype=np.float64)
+    lat = pdf["latitude"].to_numpy(dtype=np.float64)
+    xy = np.stack([np.rint(lng * MICRO), np.rint(lat * MICRO)], axis=1).astype(np.int64)
+    uniq, first = np.unique(xy, axis=0, return_index=True)        # rows sorted by (x, y)
+    hull = convex_hull(uniq)
+    keys = uniq[:, 0]                                             # x column, ascending
+    out = []
+    for hx, hy in hull:
+        lo, hi = np.searchsorted(keys, hx, "left"), np.searchsorted(keys, hx, "right")
+        i = lo + int(np.searchsorted(uniq[lo:hi, 1], hy))
+        j = first[i]
+        out.append((float(lng[j]), float(lat[j])))
+    return out
 
 
 def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
