@@ -68,3 +68,16 @@ def test_balanced_only_spreads_small_scans(spark):
     many = spark.range(1000).repartition(slots * 2)
     assert fx.balanced(many) is many
     assert sorted(r.id for r in fx.balanced(one).collect()) == list(range(1000))
+
+
+def test_date_partitioned_incidents_prune(spark, tmp_path):
+    inc = fx.incidents(spark, SF001)
+    path = str(tmp_path / "inc_by_day")
+    W.write_incidents(inc, path)
+    back = R.read_incidents(spark, path)
+    assert back.count() == inc.count()
+    day = back.filter((F.col("start_date") >= "2024-01-10") & (F.col("start_date") < "2024-01-12"))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(start_date" in plan
+    exp = inc.filter((F.to_date("start_datetime") >= "2024-01-10") & (F.to_date("start_datetime") < "2024-01-12"))
+    assert day.count() == exp.count() > 0
