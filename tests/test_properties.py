@@ -66,3 +66,15 @@ def test_analytics_document_parts(spark):
     assert sum(d.hour_distribution.values()) == serve.filter("start_datetime IS NOT NULL").count()
     top = {r.event_cause: r.n for r in A.value_counts(serve, "event_cause", k=10).collect()}
     assert dict(d.cause_counts) == top and len(d.station_counts) <= 8
+
+
+def test_sizing_helpers(spark, monkeypatch):
+    small = spark.range(2)                                           # exact statistics
+    assert D.sized(small) is small                                   # estimate under the limit
+    local = spark.createDataFrame([(1, "a")], "k int, v string")     # no statistics: written first
+    assert D.sized(local) is not local and D.size_in_bytes(D.sized(local)) < 1024 * 1024
+    big_estimate = spark.range(10_000_000).groupBy((F.col("id") % 3).alias("k")).count()
+    monkeypatch.setattr(D, "broadcast_limit", lambda df: 1024 * 1024)
+    written = D.sized(big_estimate, "test_sized")
+    assert written is not big_estimate and D.size_in_bytes(written) < 1024 * 1024
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, big_estimate.collect()))
