@@ -138,7 +138,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SA
     own, cascade = rules(), F.when(failed, F.lit("base"))
     for name in order:
         cascade = cascade.when(own[name], F.lit(name))
-    judged = stats.withColumn("_q_rule", cascade)
+    # A filter on the result would be pushed below the projections, with every statistic copied into
+    # it; an expression that is not deterministic (and always true) keeps it above them.
+    judged = stats.withColumn("_q_rule", F.when(F.monotonically_increasing_id() >= 0, cascade))
     result = F.struct(*[F.col(f"_q_{x}").alias(x) for x in BASE], failed.alias("base_failed"),
                       F.col("_q_rule").isNull().alias("kept"), F.col("_q_rule").alias("rule"))
     return judged.withColumn(into, result).drop(*[f"_q_{x}" for x in (*BASE, "n_lines", "rest", "rule")])
