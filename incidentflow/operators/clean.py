@@ -51,10 +51,11 @@ def in_bbox(df: DataFrame, box=K.TIGHT_BOX, lat: str = "latitude", lng: str = "l
     return df.filter(bbox_predicate(box, lat, lng))
 
 
-def parse_times(df: DataFrame, cols=("start_datetime", "closed_datetime")) -> DataFrame:
-    """Text timestamps to TIMESTAMP_NTZ, unparseable text to NULL.
+def parse_times(df: DataFrame, cols=("start_datetime", "closed_datetime"), tz: str = "UTC") -> DataFrame:
+    """Text timestamps to wall-clock time in ``tz`` (TIMESTAMP_NTZ), unparseable text to NULL.
 
-    Zone designators such as ``Z`` are accepted and dropped: wall-clock time is kept.
+    Text with a zone designator (``Z``, ``+05:30``) is an instant and is converted;
+    text without one is wall-clock time in ``tz`` already.
     """
     out = {}
     for c in cols:
@@ -62,7 +63,11 @@ def parse_times(df: DataFrame, cols=("start_datetime", "closed_datetime")) -> Da
             continue
         if _is_type(df, c, (T.TimestampNTZType,)):
             continue
-        out[c] = F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)")
+        zoned = F.expr(f"try_cast(`{c}` AS STRING)").rlike(r"(?i)(z|[+-][0-9]{2}:?[0-9]{2})\s*$") & F.col(c).contains(":")
+        utc = F.expr(f"timestampadd(MICROSECOND, unix_micros(try_cast(`{c}` AS TIMESTAMP)), "
+                     "TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+        out[c] = F.when(zoned, F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)).otherwise(
+            F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)"))
     return df.withColumns(out) if out else df
 
 

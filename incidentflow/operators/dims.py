@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import work_path
 
-DEFAULT_LIMIT = 64 * 1024 * 1024   # bytes of a broadcast side
-
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
@@ -31,12 +29,10 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        v = int(str(conf).lower().rstrip("b"))
-    except ValueError:
-        v = DEFAULT_LIMIT
-    return max(v, DEFAULT_LIMIT) if v > 0 else DEFAULT_LIMIT
+    """The session's own broadcast threshold; -1 (off) means that nothing is broadcast."""
+    conf = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    return int(conf[:-1]) << units[conf[-1]] if conf[-1:] in units else int(conf)
 
 
 def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "left", name: str = "dim") -> DataFrame:

@@ -148,7 +148,7 @@ def to_geojson(hulls: DataFrame) -> DataFrame:
 
 
 def attach_jurisdiction(requests: DataFrame, hulls: DataFrame, station_dim: DataFrame) -> DataFrame:
-    """Station polygon if one exists, else a 2,200 m circle on the centroid, else none."""
+    """Station polygon (``ring``) if one exists, else a 2,200 m circle on the centroid, else none."""
     from .dims import join_dim
     h = hulls.select("police_station", F.col("ring").alias("_ring"))
     c = station_dim.select(F.col("name").alias("police_station"), F.col("lat").alias("center_lat"),
@@ -160,4 +160,4 @@ def attach_jurisdiction(requests: DataFrame, hulls: DataFrame, station_dim: Data
     return (out.withColumn("jurisdiction_kind", kind)
             .withColumn("radius_m", F.when(kind == "circle", F.lit(K.JURISDICTION_RADIUS_M)))
             .withColumn("n_vertices", F.when(F.col("_ring").isNotNull(), F.size("_ring") - 1))
-            .drop("_ring"))
+            .withColumnRenamed("_ring", "ring"))

@@ -105,12 +105,18 @@ def _assembler():
     return VectorAssembler(inputCols=list(FEATURE_COLS), outputCol="features", handleInvalid="keep")
 
 
+def bins_for(train: DataFrame) -> int:
+    """More bins than the largest code, so no two vocabulary values ever share one."""
+    top = train.agg(*[F.max(F.col(c).cast("double")).alias(c) for c in FEATURE_COLS]).first()
+    return max(64, 2 + int(max((v for v in top if v is not None), default=0)))
+
+
 def fit_severity(train: DataFrame, num_trees: int = 100, max_depth: int = 12, seed: int = K.SPLIT_SEED):
     """Weighted random forest classifier over the nine features (I4)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                numTrees=num_trees, maxDepth=max_depth, maxBins=64, seed=seed)
+                                numTrees=num_trees, maxDepth=max_depth, maxBins=bins_for(train), seed=seed)
     return Pipeline(stages=[_assembler(), rf]).fit(train.withColumn("label", label_index()))
 
 
@@ -119,7 +125,7 @@ def fit_duration(train: DataFrame, num_trees: int = 100, max_depth: int = 12, se
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import RandomForestRegressor
     rf = RandomForestRegressor(featuresCol="features", labelCol="duration_min", weightCol="weight",
-                               numTrees=num_trees, maxDepth=max_depth, maxBins=64, seed=seed,
+                               numTrees=num_trees, maxDepth=max_depth, maxBins=bins_for(train), seed=seed,
                                featureSubsetStrategy="all")
     return Pipeline(stages=[_assembler(), rf]).fit(train)
 
@@ -182,8 +188,6 @@ def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_tre
     rfeat = _materialise(feature_table(regressor_rows(train, fb), vocab).withColumn("is_test", split_flag())
                          .select("row_key", "is_test", "weight", "duration_min", *FEATURE_COLS),
                          "reg_rows")
-    # Stratification gate (D20): with a class below two rows the split is still
-    # the hash split; the metric is reported on whatever lands in the test half.
     clf_eval = fit_severity(cfeat.filter(~F.col("is_test")), num_trees, max_depth)
     test_pred = clf_eval.transform(cfeat.filter(F.col("is_test")).withColumn("label", label_index()))
     clf = fit_severity(cfeat, num_trees, max_depth)
@@ -197,6 +201,8 @@ def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_tre
         reg.write().overwrite().save(f"{out_dir}/duration")
     else:
         reg_test = reg_all = spark.createDataFrame([(0, None, None)], "n long, r2 double, mae double")
+    # says whether a duration model belongs to this fit, so that loading need not guess from an error
+    spark.range(1).select(F.lit(n_reg > 0).alias("has_duration")).write.mode("overwrite").parquet(f"{out_dir}/manifest")
     clf.write().overwrite().save(f"{out_dir}/severity")
     vocab.write.mode("overwrite").parquet(f"{out_dir}/vocab")
     ct = classification_metrics(test_pred).first()
@@ -216,10 +222,8 @@ def load_models(path: str):
     spark = SparkSession.getActiveSession()
     vocab = spark.read.parquet(f"{path}/vocab")
     sev = PipelineModel.load(f"{path}/severity")
-    try:
-        dur = PipelineModel.load(f"{path}/duration")
-    except Exception:  # noqa: BLE001 - no duration rows at fit time
-        dur = None
+    has_duration = spark.read.parquet(f"{path}/manifest").first()["has_duration"]
+    dur = PipelineModel.load(f"{path}/duration") if has_duration else None
     return vocab, sev, dur
 
 

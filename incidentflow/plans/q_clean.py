@@ -117,6 +117,33 @@ def parse_times(spark, sf):
                             "closed_datetime": ts_text("closed_datetime")})
 
 
+OFFSET_SQL = """
+SELECT incident_id, strftime(start_datetime + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS start_local,
+  strftime(closed_datetime + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS closed_local,
+  CAST(hour(start_datetime + INTERVAL 330 MINUTE) AS INTEGER) AS hour,
+  date_diff('second', date_trunc('second', start_datetime), date_trunc('second', closed_datetime)) AS seconds
+FROM inc"""
+
+
+@register("parse_times_offset", S.BASE_INC + OFFSET_SQL)
+def parse_times_offset(spark, sf):
+    """Times with mixed zone offsets, read as wall-clock time of one zone."""
+    def text(c, shift, zone):
+        return F.date_format(F.col(c) + F.expr(f"INTERVAL '{shift}' MINUTE"), f"yyyy-MM-dd'T'HH:mm:ss'{zone}'")
+
+    even = F.col("incident_id") % 2 == 0
+    raw = fx.incidents(spark, sf).select(
+        "incident_id", F.when(even, text("start_datetime", 330, "+05:30")).otherwise(
+            text("start_datetime", 0, "Z")).alias("start_datetime"),
+        F.when(even, text("closed_datetime", 0, "Z")).otherwise(
+            text("closed_datetime", -180, "-03:00")).alias("closed_datetime"))
+    out = C.parse_times(raw, tz="Asia/Kolkata")
+    day = "yyyy-MM-dd HH:mm:ss"
+    return out.select("incident_id", F.date_format("start_datetime", day).alias("start_local"),
+                      F.date_format("closed_datetime", day).alias("closed_local"), F.hour("start_datetime").alias("hour"),
+                      F.expr("timestampdiff(SECOND, start_datetime, closed_datetime)").alias("seconds"))
+
+
 @register("hotspot_columns", S.BASE_SERVE + """
 SELECT latitude, longitude, event_cause, priority, requires_road_closure FROM serve""")
 def hotspot_columns(spark, sf):

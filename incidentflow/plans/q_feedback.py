@@ -205,7 +205,8 @@ def fb_defaults_from_prediction(spark, sf):
 
 
 def _with_features(spark, sf):
-    return _fb(spark, sf).filter(F.col("hour").isNotNull())
+    """Every ledger row; old rows without feature fields get the defaults."""
+    return FB.feedback_defaults(_fb(spark, sf))
 
 
 @register("attribution", S.BASE_ATTR + "\n" + " UNION ALL ".join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clean as C
 from ..operators import geo as GEO
 from ..operators import learn as L
 from ..operators.features import train_table
@@ -13,7 +14,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import ingest as ST
 from . import sqlbase as S
-from .q_clean import FB_COLS
+from .q_clean import FB_COLS, INC_COLS
 from .q_feedback import STATS_SQL
 from .registry import register, ts_text
 
@@ -57,6 +58,53 @@ def append_feedback(spark, sf):
     return R.read_feedback(spark, path).withColumn("timestamp", ts_text("timestamp"))
 
 
+@register("append_feedback_unkeyed", S.BASE_FB + """
+SELECT count(*) AS n, count(*) AS n_seq, 1 AS first_seq, count(*) AS last_seq FROM fb""")
+def append_feedback_unkeyed(spark, sf):
+    """Appends without ``seq``: two batches, one of them retried; positions are dense and unique."""
+    path = work_path(spark, "ledger")
+    fb = fx.feedback(spark, sf).repartition(5, "seq")
+    for part, batch in ((F.col("seq") % 3 == 0, 1), (F.col("seq") % 3 != 0, 2), (F.col("seq") % 3 != 0, 2)):
+        W.append_feedback(fb.filter(part).drop("seq"), path, batch_id=batch)
+    return R.read_feedback(spark, path).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_seq"),
+        F.min("seq").cast("int").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@register("append_two_writers", S.BASE_FB + f"""
+SELECT {FB_COLS}, {S.ts_text('"timestamp"')} AS "timestamp" FROM fb""")
+def append_two_writers(spark, sf):
+    """Two producers append batches of the same number; neither loses a row."""
+    path = work_path(spark, "ledger")
+    fb = fx.feedback(spark, sf)
+    W.append_feedback(fb.filter(F.col("seq") % 2 == 0), path, batch_id=0, producer="a")
+    W.append_feedback(fb.filter(F.col("seq") % 2 != 0), path, batch_id=0, producer="b")
+    return R.read_feedback(spark, path).withColumn("timestamp", ts_text("timestamp"))
+
+
+@register("scan_incidents_csv", S.BASE_INC + f"""
+SELECT {INC_COLS}, {S.ts_text('start_datetime')} AS start_datetime,
+       {S.ts_text('closed_datetime')} AS closed_datetime FROM inc""")
+def scan_incidents_csv(spark, sf):
+    """The history as CSV with its columns in another order and one more, read by the header's names (A1)."""
+    path = work_path(spark, "incidents_csv")
+    inc = fx.incidents(spark, sf)
+    (inc.select(F.lit("x").alias("remark"), *reversed(inc.columns)).withColumns(
+        {"start_datetime": ts_text("start_datetime"), "closed_datetime": ts_text("closed_datetime")})
+     .write.option("header", True).csv(path))
+    return R.read_incidents(spark, path, fmt="csv").withColumns(
+        {"start_datetime": ts_text("start_datetime"), "closed_datetime": ts_text("closed_datetime")})
+
+
+@register("scan_incidents_stored", S.BASE_SERVE + "\nSELECT incident_id, latitude, longitude FROM inc WHERE "
+          "latitude > 12.8 AND latitude < 13.2 AND longitude > 77.4 AND longitude < 77.8")
+def scan_incidents_stored(spark, sf):
+    """The history stored by date and read back; the box reaches the Parquet scan."""
+    path = work_path(spark, "incidents_by_day")
+    W.write_incidents(fx.incidents(spark, sf), path)
+    return C.in_bbox(R.read_incidents(spark, path)).select("incident_id", "latitude", "longitude")
+
+
 def _closure_stream(spark, sf):
     nation = fx.table(spark, sf, "nation")
     return fx.feedback_from_incidents(fx.incidents_from_events(ST.events_stream(spark, sf), nation))
@@ -90,8 +138,9 @@ def stream_retrain(spark, sf):
     history = train_table(fx.incidents(spark, sf))
 
     def on_batch(batch_id):
-        L.retrain(history, R.read_feedback(spark, ledger)).withColumn(
-            "batch_id", F.lit(batch_id)).write.mode("append").parquet(summaries)
+        # keyed by the batch: a replayed batch replaces its summary
+        L.retrain(history, R.read_feedback(spark, ledger)).write.mode("overwrite").parquet(
+            f"{summaries}/batch_id={batch_id}")
 
     q = ST.start_ingest(_closure_stream(spark, sf), ledger, ckpt, on_batch=on_batch)
     q.awaitTermination()

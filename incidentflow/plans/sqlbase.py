@@ -128,7 +128,7 @@ fb0 AS (
          CAST(isodow(start_datetime) - 1 AS INTEGER) AS _dow,
          {severity_sql(score_sql(CAUSE_WEIGHT_CASE, peak=f"CAST(coalesce(hour(start_datetime) IN {PEAK}, false) AS INTEGER)"))} AS _pred
   FROM filled f
-  WHERE incident_id % 4 = 0 AND start_datetime IS NOT NULL
+  WHERE start_datetime IS NOT NULL
 ),
 fb AS (
   SELECT
@@ -313,9 +313,12 @@ ATTR = f"""
 a0 AS (
   SELECT seq, event_cause, hour, requires_road_closure, priority, corridor,
          predicted_duration AS dur, CAST({DISPLAY_WEIGHT_CASE} AS DOUBLE) AS b,
-         coalesce(hour IN {PEAK}, false) AS pk, coalesce(requires_road_closure, false) AS cl,
+         hour IN {PEAK} AS pk, requires_road_closure AS cl,
          priority = 'High' AS hi, corridor <> 'Non-corridor' AS co
-  FROM fb WHERE hour IS NOT NULL
+  FROM (SELECT seq, coalesce(event_cause, 'others') AS event_cause, coalesce(hour, 12) AS hour,
+               coalesce(requires_road_closure, false) AS requires_road_closure,
+               coalesce(priority, 'Low') AS priority, coalesce(corridor, 'Non-corridor') AS corridor,
+               predicted_duration FROM fb)
 ),
 a1 AS (
   SELECT *, b AS a_cause,

@@ -43,13 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is read as is. Only when
-    it is unset (local tests) is a private folder created and registered.
+    it is unset in local mode (tests) is a private folder created and registered;
+    on a cluster a private folder would be another one on every machine, so an
+    unset setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="incidentflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)

@@ -22,28 +22,8 @@ FIXTURE_CAUSES = ("accident", "protest", "procession", "public_event", "vip_move
                   "road_conditions", "congestion", "vehicle_breakdown", "others")
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it yields fewer splits than task slots.
-
-    A Parquet file with one row group is one split, so every narrow stage over
-    it would run in a single task. Below the session's parallelism the rows are
-    dealt round-robin once; a large input (more splits than slots) is left as is.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()          # plans the scan; runs no job
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as is
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
-# Tables that feed per-row work; small dimensions (nation) are left alone.
-_BALANCE = {"events"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df) if name in _BALANCE else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def incidents_from_events(events: DataFrame, nation: DataFrame) -> DataFrame:
@@ -92,9 +72,9 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_from_incidents(inc: DataFrame) -> DataFrame:
-    """A closure ledger: every 4th incident with a start; see FIXTURES.md section 4."""
+    """A closure ledger: every incident with a start; see FIXTURES.md section 4."""
     lit = F.lit
-    f = fill_defaults(inc).filter((F.col("incident_id") % 4 == 0) & F.col("start_datetime").isNotNull())
+    f = fill_defaults(inc).filter(F.col("start_datetime").isNotNull())
     iid = F.col("incident_id")
     hour = F.hour("start_datetime")
     f = f.withColumn("_score", score_expr(cause_weight(F.col("event_cause")), F.col("priority"),

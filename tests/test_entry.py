@@ -1,11 +1,8 @@
-import os
-import sys
 
 import pytest
 
 from conftest import SF001
 
-sys.path.insert(0, "/opt/oracle")
 
 
 def test_entry_runs(spark):

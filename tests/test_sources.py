@@ -61,15 +61,6 @@ def test_append_is_idempotent_per_batch(spark, tmp_path):
     assert back.count() == fb.count() + 2 and back.filter(F.col("timestamp").isNull()).count() == 0
 
 
-def test_balanced_only_spreads_small_scans(spark):
-    slots = spark.sparkContext.defaultParallelism
-    one = spark.range(1000).coalesce(1)
-    assert fx.balanced(one).rdd.getNumPartitions() == slots
-    many = spark.range(1000).repartition(slots * 2)
-    assert fx.balanced(many) is many
-    assert sorted(r.id for r in fx.balanced(one).collect()) == list(range(1000))
-
-
 def test_date_partitioned_incidents_prune(spark, tmp_path):
     inc = fx.incidents(spark, SF001)
     path = str(tmp_path / "inc_by_day")
