@@ -13,7 +13,7 @@ import numpy as np
 # --- fixed values: values per word and bits per value of selectors 1, 2, 3, ... ---
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
            (4, 15), (3, 20), (2, 30), (1, 60))
-BLOCK = 1024
+BLOCK = 128                    # short blocks: more of them advance together
 
 
 def _bits(v: np.ndarray) -> np.ndarray:
@@ -38,8 +38,9 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     size[-1] = n - block * (lanes - 1)
     wide = block + 60
     pad = np.zeros((lanes, wide), np.uint64)
-    for lo in range(0, n, block):
-        pad[lo // block, :min(block, n - lo)] = v[lo:lo + block]
+    whole = np.zeros(lanes * block, np.uint64)
+    whole[:n] = v
+    pad[:, :block] = whole.reshape(lanes, block)
     bits = _bits(pad.ravel())
     escapes = pad.ravel()[bits > 60]
     order = np.cumsum(bits > 60) - 1

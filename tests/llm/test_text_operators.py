@@ -236,7 +236,7 @@ def test_simple8b_round_trip():
             v[::7] = 0
             words, at, esc = simple8b.encode(v)
             assert (simple8b.decode(words, at, esc, n) == v).all()
-    words, _, _ = simple8b.encode(np.zeros(1024, np.uint64))
+    words, _, _ = simple8b.encode(np.zeros(1024, np.uint64), 1024)
     assert len(words) == 18                                     # 60 to a word
 
 
