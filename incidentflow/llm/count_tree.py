@@ -9,10 +9,17 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 32
+GROUPS = 16
+FINE = 1024                    # groups of which only the parity of the count is kept
 FANOUT = 16
 
 
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fine groups whose counts differ in parity: at least so many tokens are in one set only, so the summed
+    minima over the fine groups are at most half of both sizes less this."""
+    return np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64)
+
+
 def enough(bound: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """True where an overlap of ``bound`` would reach the threshold: 100 o >= percent (a + b - o)."""
     return (100 + percent) * bound >= percent * (a + b)

@@ -7,8 +7,9 @@ occur elsewhere, and it goes to the few rarest shared ones. Tokens with the same
 group. (Token, document) pairs travel as packed arrays in two shuffles; a token in more than
 ``hot`` documents of a batch is replaced by a marker that says so.
 
-Join: in each group, an R-tree over count vectors (count_tree.py) proposes pairs, and the token sets
-themselves verify them. Round one proposes few pairs, enough to connect a group if they hold;
+Join: in each group, an R-tree over count vectors (count_tree.py) proposes pairs, parities of finer counts
+strike out most that are not links, and the token sets
+themselves verify the rest. Round one proposes few pairs, enough to connect a group if they hold;
 round two proposes every pair of the groups that still lies in different components, so no link is lost
 and copies are not expanded into all pairs. Groups above ``block`` members are split, in round
 two into pairs of parts.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import (ROW, SPACED, Scratch, id_text, mix, ragged, scan_words, slices, text_buffer, window_hash,
                      with_row_key)
 from .components import components
-from .count_tree import GROUPS, CountTree, enough
+from .count_tree import FINE, GROUPS, CountTree, enough, unlike
 
 K, PERCENT = 5, 75
 HOT = 512                      # documents of a batch that make a token hot there
@@ -128,17 +129,22 @@ def _heads(src: DataFrame, k: int, percent: int, hot: int, parts: int) -> DataFr
                 n, row = np.diff(at), np.asarray(b.column(ROW), np.int64)
                 full = n > 0
                 s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                point = np.zeros((len(n), GROUPS), np.int32)
+                point, fine = np.zeros((len(n), GROUPS), np.int32), np.zeros((len(n), FINE // 8), np.uint8)
                 if full.any():
                     s1[full] = np.add.reduceat(mix(token), at[:-1][full])
                     s2[full] = np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), at[:-1][full])
-                    owner = np.repeat(np.arange(len(n)), n)
-                    point = np.bincount(owner * GROUPS + (mix(token) >> np.uint64(59)).astype(np.int64),
-                                        minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+                    cell = (mix(token) % np.uint64(FINE)).astype(np.int64)
+                    for lo in range(0, len(n), 512):                    # rows at once: their cells fit in memory
+                        hi = min(lo + 512, len(n))
+                        owner = np.repeat(np.arange(hi - lo), n[lo:hi])
+                        count = np.bincount(owner * FINE + cell[at[lo]:at[hi]],
+                                            minlength=(hi - lo) * FINE).reshape(-1, FINE)
+                        fine[lo:hi] = np.packbits((count & 1).astype(np.uint8), axis=1)
+                        point[lo:hi] = count.reshape(hi - lo, GROUPS, -1).sum(axis=2)
                 s1, s2 = s1.view(np.int64), s2.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(home(row)), b.column(ROW), b.column("id"), pa.array(n), pa.array(s1), pa.array(s2),
-                     pa.array([p.astype("<i4").tobytes() for p in point], pa.binary()),
+                     pa.array([p.astype("<i4").tobytes() + f.tobytes() for p, f in zip(point, fine)], pa.binary()),
                      pa.nulls(len(n), pa.binary())], names=fields)
                 for i, sign in enumerate(zip(n.tolist(), s1.tolist(), s2.tolist())):
                     if not sign[0] or sign in seen:
@@ -246,7 +252,11 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
     Not final: few pairs of each group, a forest. Final: every pair whose components c differ;
     ``side`` is 0, or 1 and 2 for the two parts of a split group.
     """
-    def forest(row, n, x, join):
+    def allowed(i, j, n, fine):
+        """Of the indexes j, those that the parities allow as well."""
+        return j[enough((n[j] + n[i] - unlike(fine[j], fine[i])) // 2, n[j], n[i], percent)]
+
+    def forest(row, n, x, fine, join):
         out, m = [], len(row)
         if m <= DENSE:
             pick = np.arange(m)
@@ -254,12 +264,12 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
             pick = np.unique(np.argsort(n, kind="stable")[np.linspace(0, m - 1, 6).astype(int)])
         for i in pick.tolist():
             ok = enough(np.minimum(x, x[i]).sum(axis=1), n, n[i], percent)
-            for j in np.flatnonzero(ok).tolist():
+            for j in allowed(i, np.flatnonzero(ok), n, fine).tolist():
                 if j != i and join(int(row[i]), int(row[j])):
                     out.append((int(min(row[i], row[j])), int(max(row[i], row[j]))))
         return out
 
-    def crossing(row, n, x, c, side):
+    def crossing(row, n, x, fine, c, side, seen):
         kinds, label = np.unique(c, return_inverse=True)
         if len(kinds) < 2:
             return []
@@ -269,11 +279,16 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
             j = tree.near(x[i], int(n[i]))
             j = j[(label[j] != label[i]) & ((side[j] == 0) | (side[j] != side[i]))
                   & ((label[j] == most) | (j > i))]
-            out += [(int(min(row[i], r)), int(max(row[i], r))) for r in row[j]]
+            for r in row[allowed(i, j, n, fine)].tolist():
+                pair = (min(int(row[i]), r), max(int(row[i]), r))
+                if pair not in seen:                            # a pair meets in several groups
+                    seen.add(pair)
+                    out.append(pair)
         return out
 
     def run(batches):
         parent: dict[int, int] = {}
+        seen: set[tuple[int, int]] = set()
 
         def find(v):
             while parent.setdefault(v, v) != v:
@@ -290,8 +305,10 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
         def solve():
             row, n, point, c, side = zip(*held)
             row, n, c, side = np.array(row), np.array(n), np.array(c), np.array(side)
-            x = np.frombuffer(b"".join(point), "<i4").reshape(len(row), GROUPS)
-            got = crossing(row, n, x, c, side) if final else forest(row, n, x, join)
+            raw = np.frombuffer(b"".join(point), np.uint8).reshape(len(row), -1)
+            x = np.ascontiguousarray(raw[:, :4 * GROUPS]).view("<i4")
+            fine = np.ascontiguousarray(raw[:, 4 * GROUPS:]).view("<u8")
+            got = crossing(row, n, x, fine, c, side, seen) if final else forest(row, n, x, fine, join)
             if got:
                 a, b = zip(*got)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -302,8 +319,10 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
                     if len(held) > 1:
                         yield from solve()
                     held, last = [], (g, salt)
-                    if len(parent) > 1 << 20:
+                    if len(parent) > 1 << 20:                   # only saves work: pairs are made distinct later
                         parent.clear()
+                    if len(seen) > 1 << 20:
+                        seen.clear()
                 held.append(rest)
         if len(held) > 1:
             yield from solve()
