@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -72,3 +73,43 @@ def test_date_partitioned_incidents_prune(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(start_date" in plan
     exp = inc.filter((F.to_date("start_datetime") >= "2024-01-10") & (F.to_date("start_datetime") < "2024-01-12"))
     assert day.count() == exp.count() > 0
+
+
+def test_csv_by_header_name(spark, tmp_path):
+    p = tmp_path / "inc.csv"
+    p.write_text("remark,police_station,event_type,longitude,start_datetime,latitude,priority\n"
+                 "x,North,planned,77.6,2024-01-01T08:00:00+05:30,12.97,High\n"
+                 "y,\"A, B\",unplanned,junk,2024-01-01 09:30:00,,\n")
+    rows = {r.police_station: r for r in R.read_incidents(spark, str(p), fmt="csv").collect()}
+    a, b = rows["North"], rows["A, B"]
+    assert (a.event_type, a.latitude, a.longitude, a.priority) == ("planned", 12.97, 77.6, "High")
+    assert str(a.start_datetime) == "2024-01-01 02:30:00" and str(b.start_datetime) == "2024-01-01 09:30:00"
+    assert b.longitude is None and b.latitude is None and b.closed_datetime is None
+    again = {r.police_station: r.incident_id for r in R.read_incidents(spark, str(p), fmt="csv").collect()}
+    assert again == {k: r.incident_id for k, r in rows.items()} and a.incident_id != b.incident_id
+
+
+def test_json_ledger_in_file_order(spark, tmp_path):
+    import json
+    rows = [{"event_id": f"E{i:03d}", "rating": i % 5} for i in range(60)]
+    (tmp_path / "l").mkdir()
+    for name, lo, hi in (("a.json", 0, 3), ("b.json", 3, 40), ("c.json", 40, 60)):
+        part = rows[lo:hi]
+        text = json.dumps(part) if name == "b.json" else "\n".join(map(json.dumps, part))   # array and lines
+        (tmp_path / "l" / name).write_text(text)
+    got = sorted((r.seq, r.event_id) for r in R.read_feedback(spark, str(tmp_path / "l")).collect())
+    assert got == [(i + 1, r["event_id"]) for i, r in enumerate(rows)]
+
+
+def test_shared_folder_is_required_off_local_mode():
+    from types import SimpleNamespace as N
+    from incidentflow.session import ensure_checkpoint_dir
+    conf = N(get=lambda k, d=None: d, set=lambda k, v: None)
+    fake = N(sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None), conf=conf)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
+
+
+def test_package_code_travels_by_value():
+    from pyspark import cloudpickle
+    assert "incidentflow" in cloudpickle.list_registry_pickle_by_value()
