@@ -261,7 +261,7 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
         if m <= DENSE:
             pick = np.arange(m)
         else:
-            pick = np.unique(np.argsort(n, kind="stable")[np.linspace(0, m - 1, 6).astype(int)])
+            pick = np.arange(6)                                 # the first rows, as in the other groups they are in
         for i in pick.tolist():
             ok = enough(np.minimum(x, x[i]).sum(axis=1), n, n[i], percent)
             for j in allowed(i, np.flatnonzero(ok), n, fine).tolist():
@@ -303,6 +303,7 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
         last, held = None, []
 
         def solve():
+            held.sort()                                         # by row: tasks choose the same pairs
             row, n, point, c, side = zip(*held)
             row, n, c, side = np.array(row), np.array(n), np.array(c), np.array(side)
             raw = np.frombuffer(b"".join(point), np.uint8).reshape(len(row), -1)
