@@ -13,7 +13,8 @@ sample the weights ``DEFAULT`` are used.
 Cases: null, empty or text-free html: empty text. Unclosed and stray tags, comments, scripts are read as a
 browser would (an unclosed script or comment runs to the end). Pages of any length, repeated
 rows and null ids are treated alike; an empty table gives an empty result; other columns are not
-read. Ties of the cut go to boilerplate.
+read. Text of elements that show none (svg, button, video and so on) is left out up to where a browser ends
+them. Ties of the cut go to boilerplate.
 """
 
 from __future__ import annotations
@@ -39,7 +40,16 @@ BLOCKS = set("address article aside blockquote body br caption center dd details
              "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary "
              "table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title|canvas|audio|video"
+# text up to the end tag of the same name, or to the end of the page
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript iframe textarea title".split()}
+# ordinary elements whose text is not the page's; they end where a browser ends them
+FOREIGN = set("svg math".split())
+HIDDEN = FOREIGN | set("template object select button canvas audio video".split())
+BARRIER = set("template object select button".split())         # no paragraph or list item is closed across these
+# places in foreign elements that hold HTML again, and start tags that end foreign elements elsewhere
+HTML_AGAIN = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+               "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BAD_TAGS = set("nav footer aside form dialog menu".split())
 GOOD_TAGS = set("article main".split())
 BAD_WORDS = set("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie "
@@ -48,13 +58,15 @@ BAD_WORDS = set("ad ads advert advertisement advertising adverts banner breadcru
                 "subscription toolbar widget".split())
 GOOD_WORDS = set("article content entry main post story".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
-          "td": {"td", "th"}, "th": {"td", "th"}}
+          "td": {"td", "th"}, "th": {"td", "th"}, "button": {"button"}}
 DEFAULT = np.array([-1.5, 0.9, -4.0, 0.6, 0.8, 0.0, 0.3])
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE_VALUE = re.compile(r"=\s*[^\s\"']\S*\Z")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -83,10 +95,14 @@ def _evidence(tag: str, attributes: str, outer: int) -> int:
     return 1 if tag in GOOD_TAGS else outer
 
 
+def _self_closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _BARE_VALUE.search(_QUOTED.sub('""', attributes))
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in page order."""
     out: list[Block] = []
-    stack = [("", 0, 0)]                         # tag, evidence, number of the element
+    stack = [("", 0, 0, False, False)]           # tag, evidence, number of the element, hidden, foreign
     parts: list[str] = []
     links, in_link, number, at = 0, 0, 0, 0
 
@@ -95,48 +111,71 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, evidence, me = next((s for s in reversed(stack) if s[0] in BLOCKS), stack[0])
+                tag, evidence, me, *_ = next((s for s in reversed(stack) if s[0] in BLOCKS and not s[3]), stack[0])
                 words = text.count(" ") + 1
                 out.append(Block(text, evidence, me, words, min(links, words), tag[:1] == "h" and tag[1:].isdigit()))
             parts.clear()
             links = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            s = page[at:m.start()]
+    def read(to):
+        nonlocal links
+        if to > at and not stack[-1][3]:
+            s = page[at:to]
             parts.append(s)
             if in_link:
                 links += len(s.split())
+
+    while m := _TOKEN.search(page, at):
+        read(m.start())
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in BLOCKS:
-            end_block()
-        if m[2]:
+        keep = len(stack)                        # elements that stay open
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    keep = i
+                    break
+                if stack[i][0] in BARRIER and tag not in BARRIER and (tag not in BLOCKS or tag in CLOSES):
                     break
+            if tag in BLOCKS and not stack[keep - 1][3]:
+                end_block()
+            del stack[keep:]
             if tag == "a":
                 in_link = 0
-        elif tag not in VOID:
-            close = CLOSES.get(tag)
-            if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in close:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            number += 1
-            # a paragraph's parent is what holds it: siblings share it
-            stack.append((tag, _evidence(tag, m[4], stack[-1][1]), stack[-1][2] if tag in CLOSES else number))
-            if tag == "a":
-                in_link = 1
-    if at < len(page):
-        parts.append(page[at:])
+            continue
+        if tag in BREAKOUT:
+            while stack[keep - 1][4]:
+                keep -= 1
+        foreign = stack[keep - 1][4]
+        if tag in RAW and not foreign:
+            end = RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        close = CLOSES.get(tag)
+        if close and not foreign:
+            for i in range(keep - 1, 0, -1):
+                if stack[i][0] in close:
+                    keep = i
+                    break
+                if stack[i][0] in BLOCKS or stack[i][0] in BARRIER:
+                    break
+        hidden = stack[keep - 1][3]
+        if tag in BLOCKS and not hidden:
+            end_block()
+        del stack[keep:]
+        foreign = foreign or tag in FOREIGN
+        if foreign and _self_closed(m[3]) or tag in VOID and not stack[-1][4]:
+            continue
+        number += 1
+        # a paragraph's parent is what holds it: siblings share it
+        stack.append((tag, _evidence(tag, m[3], stack[-1][1]), stack[-1][2] if tag in CLOSES else number,
+                      hidden or tag in HIDDEN, foreign and tag not in HTML_AGAIN))
+        if tag == "a" and not hidden:
+            in_link = 1
+    read(len(page))
     end_block()
     return out
 

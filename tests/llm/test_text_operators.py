@@ -109,6 +109,34 @@ def test_html_cases(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inside, text", [
+    ("<video-player src=x></video-player>", ""),                    # custom elements are not the raw ones
+    ("<title-bar>own words</title-bar>", "own words"),
+    ("<script-note>own words", "own words"),
+    ("<svg-icon name='a'/>", ""),
+    ('<svg viewBox="0 0 1 1" data-x="a=b/" />', ""),                # closed without an end tag
+    ("<math/>", ""),
+    ("<svg><style/><title>no</title><g><path d='M0'/></g><svg><text>no</text></svg>no</svg>", ""),
+    ("<svg><foreignObject><p>no</p></foreignObject><text>no</text></svg>", ""),
+    ("<svg><path d='M0'>", ""),                                     # unclosed: the next paragraph ends it
+    ("<div><video src=x></div>", ""),                               # unclosed: ends with what holds it
+    ("<div><button>no</div>", ""),
+    ("<select><option>no<option>no</select>", ""),
+    ("<video><canvas>no</video>", ""),
+    ("<object><p>no</p><button>no</object>", ""),
+    ("<script>'<p>no</p>'</script >", ""),
+    ("<textarea><p>no</textarea>", ""),
+])
+def test_html_elements_without_text(inside, text):
+    got = [b.text for b in html_extract.blocks(f"<article><p>a</p>{inside}<p>rest</p></article><p>end</p>")]
+    assert got == ["a", *([text] if text else []), "rest", "end"]
+
+
+def test_html_raw_text_to_the_end():
+    for tag in ("script", "style", "iframe", "textarea", "title", "noscript"):
+        assert [b.text for b in html_extract.blocks(f"<p>a</p><{tag}>no</{tag}-x><p>no</p>")] == ["a"]
+
+
 def test_minimum_cut_against_all_cuts():
     r = random.Random(3)
     for _ in range(200):
