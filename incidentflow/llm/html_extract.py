@@ -6,9 +6,14 @@ evidence from its elements (article, main / nav, footer, aside, form, class and
 ``ad``, ``sidebar``, ``comments``). Smoothness edges join neighbours in page order and consecutive blocks
 with the same parent. The minimum cut separates content from boilerplate.
 
-The classifier is trained here, on blocks of at most ``sample_pages`` pages whose elements say what
-they are; its text features know nothing of the elements. Without both kinds of blocks in the
-sample the weights ``DEFAULT`` are used.
+The three are of one size. Evidence is graded: a name made of listed words alone counts in full, one that
+also has other words (``comment-list``) half, a layout state (``has-sidebar``) nothing; article or main
+inside a boilerplate element takes it back; an unlisted name inside content halves it. So half
+evidence gives way to the text alone, full evidence to text and neighbours together.
+
+The classifier is trained here, on blocks of at most ``sample_pages`` pages whose elements say in full what
+they are, both kinds with the same weight; its text features know nothing of the elements. Without both
+kinds of blocks in the sample the weights ``DEFAULT`` are used.
 
 Cases: null, empty or text-free html: empty text. Unclosed and stray tags, comments, scripts are read as a
 browser would (an unclosed script or comment runs to the end). Pages of any length, repeated
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SAMPLE_PAGES = 400
-EVIDENCE, CLASSIFIER = 6.0, 3.0        # weight of the elements, bound of the classifier's part
+EVIDENCE, CLASSIFIER = 3.0, 2.5        # full evidence of an element, bound of the classifier's part
+HALF, MOST, LEAST = 1.5, 4.0, 1.0      # half evidence; bound of several words; left below unlisted names in content
 NEXT, SIBLING = 0.6, 0.6               # smoothness: neighbours in page order, same parent
 
 # --- fixed values: element and word lists ---
@@ -56,6 +62,8 @@ BAD_WORDS = set("ad ads advert advertisement advertising adverts banner breadcru
                 "cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice pagination "
                 "popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe "
                 "subscription toolbar widget".split())
+HALF_BAD_WORDS = set("commenter commenters commentlist replies reply respond responses".split())
+STATES = set("has have hide hides is no not show shows with without".split())      # has-sidebar says nothing of the text
 GOOD_WORDS = set("article content entry main post story".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "button": {"button"}}
@@ -67,7 +75,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _BARE_VALUE = re.compile(r"=\s*[^\s\"']\S*\Z")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
@@ -78,21 +86,44 @@ class Block:
         self.words, self.linked, self.heading = words, linked, heading
 
 
-def _evidence(tag: str, attributes: str, outer: int) -> int:
-    """1 content, -1 boilerplate, 0 unknown: of an element inside one with ``outer``."""
-    if outer < 0:
-        return -1
-    if tag in BAD_TAGS or (tag == "header" and outer <= 0):
-        return -1
-    if attributes:
-        names = set()
-        for m in _NAMES.finditer(attributes):
-            names.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        if names & BAD_WORDS or ("header" in names and outer <= 0 and tag != "body"):
-            return -1 if tag not in ("body", "html") else outer
-        if names & GOOD_WORDS and tag not in ("body", "html"):
-            return 1
-    return 1 if tag in GOOD_TAGS else outer
+def _names(attributes: str, in_content: bool) -> float | None:
+    """Evidence of the class, id and role names; None without names."""
+    tokens = {t for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()}
+    if not tokens:
+        return None
+    total = 0.0
+    for t in tokens:
+        words = [w.lower() for w in _WORD.findall(t)]
+        if not words or words[0] in STATES:
+            continue
+        good = sum(w in GOOD_WORDS for w in words)
+        bad = sum(w in BAD_WORDS or w == "header" and not in_content and not good for w in words)
+        if bad:
+            total -= EVIDENCE if bad == len(words) else HALF
+        elif any(w in HALF_BAD_WORDS for w in words):
+            total -= HALF
+        elif good:
+            total += EVIDENCE if good == len(words) else HALF
+    return max(-MOST, min(MOST, total))
+
+
+def _evidence(tag: str, attributes: str, outer: float) -> float:
+    """Content above 0, boilerplate below: of an element inside one with ``outer``."""
+    if tag in ("body", "html"):
+        return outer
+    own = EVIDENCE if tag in GOOD_TAGS else -EVIDENCE if tag in BAD_TAGS or (tag == "header" and outer <= 0) else 0.0
+    names = _names(attributes, outer > 0) if attributes else None
+    if names:
+        own = max(-MOST, min(MOST, own + names))
+    if own < 0:
+        return min(outer, own)
+    if own > 0 and outer >= 0:
+        return max(outer, own)
+    if own > 0 and tag in GOOD_TAGS:             # taken back whole below half evidence, by half below full
+        return outer + (EVIDENCE if outer > -EVIDENCE else HALF)
+    if names == 0.0 and tag not in CLOSES and tag in BLOCKS and outer > LEAST:
+        return max(LEAST, outer / 2)
+    return outer
 
 
 def _self_closed(attributes: str) -> bool:
@@ -189,12 +220,13 @@ def text_features(own: list[Block]) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps, with a ridge."""
+    """Logistic regression by Newton steps, with a ridge; both classes weigh the same."""
     w = np.zeros(x.shape[1])
+    share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)),
-                               x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)),
+                               x.T @ (share * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -285,7 +317,7 @@ def label(own: list[Block], weights: np.ndarray) -> list[bool]:
     if not own:
         return []
     score = np.clip(text_features(own) @ weights, -CLASSIFIER, CLASSIFIER)
-    return minimum_cut([float(v) + EVIDENCE * b.evidence for v, b in zip(score, own)], edges(own))
+    return minimum_cut([float(v) + b.evidence for v, b in zip(score, own)], edges(own))
 
 
 def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
@@ -297,7 +329,7 @@ def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_P
                 for p in b.column("html").to_pylist():
                     own = blocks(p or "")
                     for row, k in zip(text_features(own), own):
-                        if k.evidence:
+                        if abs(k.evidence) >= EVIDENCE:
                             x.append(row.tolist())
                             y.append(k.evidence > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())],

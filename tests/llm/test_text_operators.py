@@ -137,6 +137,60 @@ def test_html_raw_text_to_the_end():
         assert [b.text for b in html_extract.blocks(f"<p>a</p><{tag}>no</{tag}-x><p>no</p>")] == ["a"]
 
 
+PROSE = ["The council met on Tuesday, spoke for three hours, and put off the vote on the new bridge to May.",
+         "Two members asked for figures; the mayor, who had none at hand, promised a report within a week.",
+         "Work on the old bridge goes on, with one lane closed at night and no change to the bus lines."]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in PROSE)
+
+
+def content(page):
+    own = html_extract.blocks(page)
+    return [b.text for b, good in zip(own, html_extract.label(own, html_extract.DEFAULT)) if good]
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<div id="page" class="site has-sidebar">', "</div>"),
+    ('<main class="no-sidebar">', "</main>"),
+    ('<article class="post with-comments hide-related">', "</article>"),
+    ('<div class="sidebar-right"><article>', "</article></div>"),          # article below a weak word
+    ('<div class="content-sidebar"><div>', "</div></div>"),                # strong text below a weak word
+    ('<form id="page-form"><main><article>', "</article></main></form>"),
+    ('<div class="siteHeader-share"><div class="a">', "</div></div>"),
+])
+def test_html_layout_words_do_not_drop_the_text(before, after):
+    page = f"<body class='sidebar'><nav><a href=/>Home</a></nav>{before}{PARAGRAPHS}{after}<footer>&copy; us</footer>"
+    assert content(page) == PROSE
+
+
+@pytest.mark.parametrize("name", ["commentlist", "commentList", "comment-list", "reader-talk", "u17"])
+def test_html_comments_below_content(name):
+    items = "".join(f"<li><a href=/u/{i}>user {i}</a></li><li><a href=#r>Reply</a></li>" for i in range(3))
+    assert content(f"<article><h1>Bridge vote</h1>{PARAGRAPHS}<div class='{name}'><ul>{items}</ul></div></article>") \
+        == ["Bridge vote", *PROSE]
+
+
+def test_html_teasers_of_related_pages():
+    teasers = "".join(f"<article class='post'><div class='entry'><a href=/{i}>Other news {i}</a></div></article>" for i in range(4))
+    assert content(f"<div class='text'>{PARAGRAPHS}</div><div class='related'>{teasers}</div>") == PROSE
+
+
+def test_html_pages_without_article():
+    links = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(5))
+    page = f"<div class='top'><ul>{links}</ul></div><div class='x1'>{PARAGRAPHS}</div><div class='x2'><ul>{links}</ul></div>"
+    assert content(page) == PROSE
+
+
+def test_html_cut_can_outweigh_the_elements():
+    sure = np.array([9.0, 0, 0, 0, 0, 0, 0])
+    alone = html_extract.blocks("<nav><p>a b</p></nav>")
+    assert html_extract.label(alone, sure) == [False] and html_extract.label(alone, -sure) == [False]
+    own = html_extract.blocks("<p>a b</p>" * 3)
+    own[1].evidence = alone[0].evidence
+    assert html_extract.label(own, sure) == [True] * 3
+    own[1].evidence = -alone[0].evidence
+    assert html_extract.label(own, -sure) == [False] * 3
+
+
 def test_minimum_cut_against_all_cuts():
     r = random.Random(3)
     for _ in range(200):
