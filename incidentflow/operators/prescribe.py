@@ -225,6 +225,26 @@ def map_extent(flat: DataFrame) -> DataFrame:
                     lat1.alias("north"), lng1.alias("east")))
 
 
+def diversion_routes(flat: DataFrame) -> DataFrame:
+    """Curved paths of the primary and the alternative route, rows needing a detour.
+
+    Source -> waypoint -> first diversion point, and source -> opposite waypoint -> second one where
+    there is a second one.
+    """
+    routes = []
+    for name, side, p in (("primary", 1, "p1"), ("alternative", -1, "p2")):
+        lat, lng = G.detour_waypoint("latitude", "longitude", "dest_lat", "dest_lng", side)
+        routes.append(F.struct(F.lit(name).alias("route"), lat.alias("w_lat"), lng.alias("w_lng"),
+                               F.col(f"{p}_name").alias("to"), F.col(f"{p}_lat").alias("to_lat"),
+                               F.col(f"{p}_lng").alias("to_lng")))
+    legs = (flat.filter(F.col("diversion_required") & F.col("p1_name").isNotNull())
+            .select("request_id", "latitude", "longitude", F.explode(F.array(*routes)).alias("r"))
+            .filter(F.col("r.to").isNotNull())
+            .select(F.struct("request_id", "r.route").alias("key"), "latitude", "longitude", "r.*"))
+    rows = G.curve_rows(legs, "key", [("latitude", "longitude", "w_lat", "w_lng"), ("w_lat", "w_lng", "to_lat", "to_lng")])
+    return rows.select("key.request_id", "key.route", "seq", "lat", "lng")
+
+
 # --- one pass over the history for every dimension the blueprint needs ------
 
 def history_dims(incidents: DataFrame) -> DataFrame:

@@ -10,10 +10,12 @@ from ..functions.numeric import py_round
 from ..operators import analytics as A
 from ..operators import clean as C
 from ..operators import geo as GEO
+from ..operators import prescribe as P
 from ..operators.features import train_table
 from ..sources import fixtures as fx
 from . import sqlbase as S
 from ..functions.numeric import exact_round_sql as XR
+from .q_prescribe import _blueprint
 from .registry import register, r6
 
 
@@ -198,3 +200,36 @@ def path_concat(spark, sf):
     rows = G.curve_rows(r, "request_id", [("latitude", "longitude", "w_lat", "w_lng"),
                                           ("w_lat", "w_lng", "dest_lat", "dest_lng")])
     return rows.select("request_id", "seq", r6("lat").alias("lat"), r6("lng").alias("lng"))
+
+
+def _route_leg(lat1, lng1, lat2, lng2, first: int) -> str:
+    return f"""
+SELECT request_id, route, CAST({first} + tv.i AS INTEGER) AS seq,
+  round((1.0::DOUBLE - tv.v) * (1.0::DOUBLE - tv.v) * {lat1} + 2.0::DOUBLE * (1.0::DOUBLE - tv.v) * tv.v *
+        (({lat1} + {lat2}) / 2.0::DOUBLE - ({lng2} - {lng1}) * 0.15::DOUBLE) + tv.v * tv.v * {lat2}, 6) AS lat,
+  round((1.0::DOUBLE - tv.v) * (1.0::DOUBLE - tv.v) * {lng1} + 2.0::DOUBLE * (1.0::DOUBLE - tv.v) * tv.v *
+        (({lng1} + {lng2}) / 2.0::DOUBLE + ({lat2} - {lat1}) * 0.15::DOUBLE) + tv.v * tv.v * {lng2}, 6) AS lng
+FROM w, tv
+UNION ALL SELECT request_id, route, {first + 13}, round({lat2}, 6), round({lng2}, 6) FROM w"""
+
+
+@register("diversion_routes", S.with_ctes(S.INC, S.FILLED, S.SERVE, S.TRAIN, S.REQ, S.WPTS, S.FC, S.SUGG, S.BP, T_VALUES) + """
+, need AS (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM
+            (SELECT *, (latitude + dest_lat) / 2.0::DOUBLE AS mid_lat, (longitude + dest_lng) / 2.0::DOUBLE AS mid_lng,
+                    dest_lat - latitude AS dx, dest_lng - longitude AS dy
+             FROM bp WHERE diversion_required AND p1_name IS NOT NULL)),
+w AS (
+  SELECT request_id, 'primary' AS route, latitude, longitude, p1_lat AS to_lat, p1_lng AS to_lng,
+         CASE WHEN len > 0 THEN mid_lat + (-dy / len) * 0.002::DOUBLE ELSE mid_lat + 0.0015::DOUBLE END AS w_lat,
+         CASE WHEN len > 0 THEN mid_lng + (dx / len) * 0.002::DOUBLE ELSE mid_lng + 0.0015::DOUBLE END AS w_lng
+  FROM need
+  UNION ALL
+  SELECT request_id, 'alternative', latitude, longitude, p2_lat, p2_lng,
+         CASE WHEN len > 0 THEN mid_lat - (-dy / len) * 0.002::DOUBLE ELSE mid_lat - 0.0015::DOUBLE END,
+         CASE WHEN len > 0 THEN mid_lng - (dx / len) * 0.002::DOUBLE ELSE mid_lng - 0.0015::DOUBLE END
+  FROM need WHERE p2_name IS NOT NULL)""" + _route_leg("latitude", "longitude", "w_lat", "w_lng", 0) + """
+UNION ALL""" + _route_leg("w_lat", "w_lng", "to_lat", "to_lng", 14))
+def diversion_routes(spark, sf):
+    """Primary and alternative route of every request that needs a diversion, to its diversion points."""
+    return P.diversion_routes(_blueprint(spark, sf)).select("request_id", "route", "seq", r6("lat").alias("lat"),
+                                                            r6("lng").alias("lng"))

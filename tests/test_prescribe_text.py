@@ -66,6 +66,41 @@ def test_detour_zero_length_and_curve(spark):
     assert len(curve) == 14 and curve[0].lat == 13.0 and curve[-1].lng == 77.6
 
 
+def _script_path(points):
+    """The original's fallback path through the points."""
+    out = []
+    for (a, b), (c, d) in zip(points, points[1:]):
+        o_lat, o_lng = (a + c) / 2 - (d - b) * 0.15, (b + d) / 2 + (c - a) * 0.15
+        t = 0.0
+        while t <= 1:
+            out.append(((1 - t) ** 2 * a + 2 * (1 - t) * t * o_lat + t * t * c,
+                        (1 - t) ** 2 * b + 2 * (1 - t) * t * o_lng + t * t * d))
+            t += 0.08
+        out.append((c, d))
+    return out
+
+
+def test_diversion_routes(spark):
+    rows = [(1, True, 13.0, 77.5, 13.0, 77.6, "A", 13.1, 77.7, "B", 12.9, 77.4),
+            (2, True, 13.0, 77.5, 13.0, 77.5, "A", 13.1, 77.7, None, None, None),      # one point: no alternative
+            (3, False, 13.0, 77.5, 13.0, 77.6, "A", 13.1, 77.7, "B", 12.9, 77.4),      # no diversion required
+            (4, True, 13.0, 77.5, 13.0, 77.6, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "request_id long, diversion_required boolean, latitude double, longitude double, "
+                               "dest_lat double, dest_lng double, p1_name string, p1_lat double, p1_lng double, "
+                               "p2_name string, p2_lat double, p2_lng double")
+    got = {}
+    for r in P.diversion_routes(df).orderBy("request_id", "route", "seq").collect():
+        got.setdefault((r.request_id, r.route), []).append((r.seq, r.lat, r.lng))
+    want = {(1, "primary"): [(13.0, 77.5), (12.998, 77.55), (13.1, 77.7)],
+            (1, "alternative"): [(13.0, 77.5), (13.002, 77.55), (12.9, 77.4)],
+            (2, "primary"): [(13.0, 77.5), (13.0015, 77.5015), (13.1, 77.7)]}
+    assert got.keys() == want.keys()
+    for k, points in want.items():
+        assert [x[0] for x in got[k]] == list(range(28))
+        for (_, lat, lng), p in zip(got[k], _script_path(points), strict=True):
+            assert (lat, lng) == pytest.approx(p, abs=1e-9)
+
+
 def test_great_circle(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0)], "a double, b double, c double, d double")
     assert df.select(G.great_circle_m("a", "b", "c", "d")).first()[0] == pytest.approx(111194.93, abs=0.01)
