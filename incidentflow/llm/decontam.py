@@ -214,7 +214,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     if into in docs.columns:
         raise ValueError(f"column {into} exists")
     spark = docs.sparkSession
-    pieces = Scratch(spark, "decontam").save(pieces_of(benchmark, item_col, item_text, k, piece_windows), "pieces")
+    pieces = Scratch(spark, "decontam").save(
+        pieces_of(benchmark, item_col, item_text, k, piece_windows).distinct(), "pieces")     # repeats would share a block
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("words") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     number = F.pmod(F.xxhash64("item", "piece", "words"), F.lit(blocks))

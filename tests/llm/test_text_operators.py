@@ -293,6 +293,24 @@ def test_decontamination(spark, messy, nothing, block, piece):
     assert empty.filter(F.size("contamination.spans") > 0).count() == 0 and empty.count() == messy.count()
 
 
+def test_decontamination_repeated_items(spark, messy, monkeypatch):
+    once = spark.createDataFrame(ITEMS, "item_id long, text string")
+    often = once.unionByName(once.limit(1).crossJoin(spark.range(5000)).drop("id"))
+    sizes, init = [], decontam.Patterns.__init__
+
+    def spy(self, items, k):
+        sizes.append(sum(len(w) + 64 for _, w in items))
+        init(self, items, k)
+
+    monkeypatch.setattr(decontam.Patterns, "__init__", spy)
+    cols = ("doc_id", "contamination")
+    want = rows(decontam.find_benchmark(messy, once).withColumn("contamination", F.to_json("contamination")), *cols)
+    top = max(sizes)
+    sizes.clear()
+    got = rows(decontam.find_benchmark(messy, often).withColumn("contamination", F.to_json("contamination")), *cols)
+    assert got == want and max(sizes) == top
+
+
 def test_decontamination_query(spark, docs):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     own = pairs(docs)
