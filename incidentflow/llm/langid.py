@@ -6,8 +6,10 @@ by follow-the-regularised-leader (FTRL-proximal) with an elastic net, so most we
 zero; a temperature is then fitted on examples kept out of the training.
 
 Document frequencies are counted over all learnable rows (one partial count vector per task). The
-classifier is fitted on at most ``sample_rows`` labelled rows, chosen by a hash and so spread over
-the table; only their sparse count vectors reach the driver (at most ``buckets`` entries a row).
+classifier is fitted on at most ``sample_rows`` different labelled rows (one a label at least), chosen by a
+hash: first an equal share for each label, then the rest in proportion to what the labels have left. So
+a rare label is learned in a table of any size. Only the sparse count vectors of these rows reach
+the driver (at most ``buckets`` entries a row).
 
 Learnable: non-null label, and crc32(id as text) mod 5 is not 0 (a null id is read as empty text).
 Cases: null text or text without a letter: ``und``, score 1 if nothing can be said (no letter). No
@@ -30,6 +32,7 @@ BUCKETS = 1 << 15
 SAMPLE_ROWS = 4000
 EPOCHS = 3
 FOLDS = 5
+TOP = 1 << 50                  # row hashes are below it
 UNKNOWN = "und"
 
 
@@ -109,6 +112,15 @@ def _held_out(c):
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % FOLDS == 0
 
 
+def _quotas(have: dict, sample_rows: int) -> dict:
+    """Rows of each label: an equal share, then the rest in proportion to the rows left."""
+    equal = max(1, sample_rows // len(have))
+    got = {k: min(n, equal) for k, n in have.items()}
+    left = {k: n - got[k] for k, n in have.items()}
+    rest, total = max(0, sample_rows - sum(got.values())), sum(left.values())
+    return {k: got[k] + (min(left[k], rest * left[k] // total) if total else 0) for k in have}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The model as plain arrays (labels, idf, weights, temperature), or None without a learnable row."""
@@ -116,12 +128,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     learn = docs.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                         F.col(f"`{label_col}`").cast("string").alias("label")).filter(
         F.col("label").isNotNull() & ~_held_out(key))
-    n = learn.count()
+    learn = learn.withColumn("h", F.pmod(F.xxhash64("id", "label", "text"), F.lit(TOP)))
+    found = learn.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("have")).collect()
+    n = sum(r["n"] for r in found)                                                # one row per language
     if not n:
         return None
-    labels = sorted(r[0] for r in learn.select("label").distinct().collect())     # one row per language
-    share = min(1.0, 1.5 * sample_rows / n)
-    pick = F.pmod(F.xxhash64("id", "label"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    labels = sorted(r["label"] for r in found)
+    have = {r["label"]: max(1, r["have"]) for r in found}
+    quota = _quotas(have, sample_rows)
+
+    def below(limits):
+        """Rows with hashes up to the limit of their label, each once."""
+        side = docs.sparkSession.createDataFrame(sorted(limits.items()), "label string, top long")
+        return learn.join(F.broadcast(side), "label").filter(F.col("h") <= F.col("top"))
+
+    # somewhat more hashes than needed, then the smallest of each label
+    limits = {k: min(TOP, int(TOP * (1.5 * q + 20) / have[k])) for k, q in quota.items()}
+    near = {}
+    for r in below(limits).select("label", "h").distinct().collect():             # a small multiple of sample_rows
+        near.setdefault(r["label"], []).append(r["h"])
+    limits = {k: sorted(v)[:quota[k]][-1] for k, v in near.items()}
 
     def count(batches):
         total, rows = np.zeros(buckets, np.int64), 0
@@ -138,19 +164,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             for b in slices(whole):
                 got = [features(t, buckets) for t in pc.fill_null(b.column("text"), "").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("label"), pa.array([x[0].astype("<i4").tobytes() for x in got], pa.binary()),
+                    [b.column("label"), b.column("h"), pa.array([x[0].astype("<i4").tobytes() for x in got], pa.binary()),
                      pa.array([x[1].astype("<i4").tobytes() for x in got], pa.binary())],
-                    names=["label", "at", "count"])
+                    names=["label", "h", "at", "count"])
 
     df = np.zeros(buckets)
     for r in learn.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(
             F.sum("n").alias("n")).toLocalIterator():                              # at most ``buckets`` rows
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = (learn.filter(pick).orderBy(F.xxhash64("id", "label", "text")).limit(sample_rows)
-            .select("label", "text").mapInArrow(sample, "label string, at binary, count binary").collect())
+    rows = (below(limits).groupBy("label", "h").agg(F.min("text").alias("text"))
+            .mapInArrow(sample, "label string, h long, at binary, count binary").collect())
     x, y = [], []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["h"], r["label"])):
         at = np.frombuffer(r["at"], "<i4").astype(np.int64)
         if len(at):
             x.append((at, vector(at, np.frombuffer(r["count"], "<i4").astype(float), idf)))

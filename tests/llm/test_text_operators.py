@@ -249,6 +249,27 @@ def test_language(spark, nothing, messy):
     assert [r[0] for r in none] == ["und"]
 
 
+def test_language_rare_label(spark):
+    """A rare language is learned in a large table as in a small one; a repeated row takes one place."""
+    r = random.Random(4)
+
+    def words(letters):
+        return " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(20))
+
+    rare = [(i, words("wxyzk"), "rr") for i in range(30)]
+    common = [(100 + i, words("abcde"), "cc") for i in range(4000)] + [(7, "abcde bcdea", "cc")] * 1000
+    for more in (common[:60], common):
+        got = langid.identify(spark.createDataFrame(rare + more, "doc_id long, text string, lang string"), sample_rows=100)
+        assert {x.lang_pred for x in got.filter("doc_id < 30 and doc_id <> 7").collect()} == {"rr"}
+        assert {x.lang_pred for x in got.filter("doc_id >= 100").collect()} == {"cc"}
+
+
+def test_language_quotas():
+    assert langid._quotas({"a": 9000, "b": 3000, "c": 10}, 100) == {"a": 33 + 18, "b": 33 + 5, "c": 10}
+    assert langid._quotas({"a": 5, "b": 7}, 100) == {"a": 5, "b": 7}
+    assert langid._quotas({"a": 5, "b": 7, "c": 1}, 2) == {"a": 1, "b": 1, "c": 1}
+
+
 # ---- 6 licences ----
 
 def test_licenses(messy, docs, nothing):
