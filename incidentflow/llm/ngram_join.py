@@ -7,11 +7,13 @@ occur elsewhere, and it goes to the few rarest shared ones. Tokens with the same
 group. (Token, document) pairs travel as packed arrays in two shuffles; a token in more than
 ``hot`` documents of a batch is replaced by a marker that says so.
 
-Join: in each group, an R-tree over count vectors (count_tree.py) proposes pairs, parities of finer counts
+Join: in each group, bounds from count vectors propose pairs, parities of finer counts
 strike out most that are not links, and the token sets
-themselves verify the rest. Round one proposes few pairs, enough to connect a group if they hold;
-round two proposes every pair of the groups that still lies in different components, so no link is lost
-and copies are not expanded into all pairs. Groups above ``block`` members are split, in round
+themselves verify the rest. Round one proposes few pairs, enough to connect a group if they hold, by
+direct bounds without a tree (all rows of a small group, else its first rows, against the group); most
+links are found here. Round two proposes every pair of the groups that still lies in different components, by
+an R-tree over the count vectors (count_tree.py), so no link is lost and copies are not expanded into all
+pairs. Groups above ``block`` members are split, in round
 two into pairs of parts.
 
 Cases: texts without words (null, empty, blanks) have no tokens and are alone. Fewer than ``k``
