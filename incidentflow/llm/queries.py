@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, ngram_join, packing, quality, suffix_dedup, token_counts
+from . import decontam, html_extract, langid, licenses, ngram_join, packing, quality, suffix_dedup, token_counts, vector_codes
 from .common import Scratch
 from .token_files import read_tokens, write_tokens
 
@@ -83,3 +83,9 @@ def op9_ngram_join(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
