@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, ngram_join, packing, quality, suffix_dedup, token_counts, vector_codes
+from . import decontam, html_extract, langid, licenses, ngram_join, packing, phrase_dedup, quality, suffix_dedup, token_counts
+from . import vector_codes
 from .common import Scratch
 from .token_files import read_tokens, write_tokens
 
@@ -89,3 +90,10 @@ def op10_packing(spark, sf_dir):
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op13_phrase_dedup(spark, sf_dir):
+    d = phrase_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("phrases.spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return d.select("doc_id", "phrases.n_words", gone.alias("n_removed"), F.sha2("phrases.kept", 256).alias("kept_sha256"))
