@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, ngram_join, packing, phrase_dedup, quality, suffix_dedup, token_counts
-from . import vector_codes
+from . import decontam, html_extract, langid, licenses, ngram_join, packing, phrase_dedup, quality, suffix_dedup, token_alignment
+from . import token_counts, vector_codes
 from .common import Scratch
 from .token_files import read_tokens, write_tokens
 
@@ -86,6 +86,11 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).select(
