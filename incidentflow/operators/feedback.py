@@ -3,12 +3,16 @@ B23, D13-D17, E1, F3, G1)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import js_fixed, py_round
+from .dims import materialise
 from .features import is_peak, with_weight
+from .ranks import offsets
 
 
 def standardise_feedback(fb: DataFrame) -> DataFrame:
@@ -122,60 +126,52 @@ def stats_from_sums(agg: DataFrame) -> DataFrame:
     )
 
 
-def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: int | None = None,
-                   rows_per_chunk: int = 5_000_000) -> DataFrame:
+ERROR_SCALE = 1_000_000        # errors are summed as whole millionths of a minute
+
+
+def learning_curve(fb: DataFrame, start: int = K.LEARNING_CURVE_START, chunks: int | None = None) -> DataFrame:
     """Accuracy % and MAE over the first i ledger rows for every i >= ``start``.
 
-    Two passes instead of one global running window (which would sort the whole
-    ledger in a single task):
-      1. rows are cut into ``chunks`` contiguous ranges of ``seq`` (quantile
-         boundaries); each range is summarised (rows, hits, absolute error) -
-         a small table;
-      2. a running sum over the few summaries gives each range its offset, and
-         a window *partitioned by range* finishes the prefix inside each range.
-    The offset table has one row per range (bounded by ``chunks``) and is joined
-    back by range id.
+    The ledger is read once, into narrow rows (seq, event id, hit, error as an integer). Those are
+    range-partitioned and sorted; each task adds up its own rows in order, and the totals of the partitions
+    before (one row for each partition) complete the prefix. Sums are of integers, and equal ``seq`` are ordered by
+    event id, hit and error, so every digit is the same on any partitioning. ``chunks`` sets the number of ranges.
     """
-    spark = fb.sparkSession
-    if chunks is None:
-        # enough ranges for the cluster, and none larger than ``rows_per_chunk`` rows
-        n_rows = fb.count()
-        chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // rows_per_chunk))
-    base = fb.select(
-        "seq",
-        F.when(F.col("predicted_severity") == F.col("actual_severity"), 1).otherwise(0).alias("hit"),
-        F.abs(F.col("predicted_duration") - F.col("actual_duration")).alias("err"))
-    # Range boundaries come from an approximate quantile sketch of seq (only the
-    # boundaries reach the driver), so ranges hold similar row counts even when
-    # seq values cluster. Any boundaries give the exact result; they only
-    # balance the work.
-    rel_err = min(0.001, 0.25 / chunks)
-    qs = base.approxQuantile("seq", [i / chunks for i in range(1, chunks)], rel_err) if chunks > 1 else []
-    splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
-    if len(splits) < 3:
-        chunked = base.withColumn("chunk", F.lit(0.0))
-    else:
-        from pyspark.ml.feature import Bucketizer
-        chunked = Bucketizer(splits=splits, inputCol="_seq_d", outputCol="chunk").transform(
-            base.withColumn("_seq_d", F.col("seq").cast("double"))).drop("_seq_d")
-    per_chunk = chunked.groupBy("chunk").agg(F.count(F.lit(1)).alias("c_n"), F.sum("hit").alias("c_hits"),
-                                             F.sum("err").alias("c_err"))
-    w_all = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        "chunk",
-        F.coalesce(F.sum("c_n").over(w_all), F.lit(0)).alias("off_n"),
-        F.coalesce(F.sum("c_hits").over(w_all), F.lit(0)).alias("off_hits"),
-        F.coalesce(F.sum("c_err").over(w_all), F.lit(0.0)).alias("off_err"))
-    w = Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.select("chunk", "seq", F.count(F.lit(1)).over(w).alias("l_n"),
-                           F.sum("hit").over(w).alias("l_hits"), F.sum("err").over(w).alias("l_err"))
-    j = local.join(F.broadcast(offsets), "chunk")   # one row per range: bounded by ``chunks``
-    n = F.col("off_n") + F.col("l_n")
-    return (j.select(
-        n.cast("long").alias("event_count"),
-        py_round((F.col("off_hits") + F.col("l_hits")) / n * F.lit(100.0), 1).alias("accuracy"),
-        py_round((F.col("off_err") + F.col("l_err")) / n, 1).alias("mae"))
-        .filter(F.col("event_count") >= start))
+    hit = F.when(F.col("predicted_severity") == F.col("actual_severity"), 1).otherwise(0).cast("long")
+    err = F.round(F.abs(F.col("predicted_duration") - F.col("actual_duration")) * F.lit(float(ERROR_SCALE))).cast("long")
+    base = materialise(fb.select("seq", "event_id", hit.alias("hit"), err.alias("err")), "curve_rows")
+    order = ["seq", "event_id", "hit", "err"]
+    ranged = base.repartitionByRange(chunks, *order) if chunks else base.repartitionByRange(*order)
+
+    def running(batches):
+        from pyspark import TaskContext
+        part, n, sums = TaskContext.get().partitionId(), 0, [0, 0, 0]
+        for b in batches:
+            rows = b.num_rows
+            if not rows:
+                continue
+            err = b.column("err")
+            added = (b.column("hit"), err.fill_null(0), err.is_valid().cast(pa.int64()))
+            cols = [np.cumsum(np.asarray(c, np.int64)) + s for c, s in zip(added, sums)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(rows, part), pa.int32()), pa.array(np.arange(n + 1, n + rows + 1)), *map(pa.array, cols)],
+                names=["part", "n", "hits", "err", "known"])
+            n, sums = n + rows, [int(c[-1]) for c in cols]
+
+    local = materialise(ranged.sortWithinPartitions(*order).mapInArrow(
+        running, "part int, n long, hits long, err long, known long"), "curve_prefix")
+    totals = local.groupBy("part").agg(*[F.max(c).alias(c) for c in ("n", "hits", "err", "known")]).collect()
+    before, rows = (0, 0, 0, 0), []
+    for r in sorted(totals, key=lambda r: r["part"]):
+        rows.append((r["part"], *before))
+        before = tuple(a + b for a, b in zip(before, r[1:]))
+    side = offsets(fb, rows, "part int, p_n long, p_hits long, p_err long, p_known long")
+    n = F.col("n") + F.col("p_n")
+    err = F.when(F.col("known") + F.col("p_known") > 0, (F.col("err") + F.col("p_err")) / F.lit(float(ERROR_SCALE)))
+    return (local.join(side, "part").filter(n >= start).select(
+        n.alias("event_count"),
+        py_round((F.col("hits") + F.col("p_hits")) / n * F.lit(100.0), 1).alias("accuracy"),
+        py_round(err / n, 1).alias("mae")))
 
 
 def learning_curve_plain(fb: DataFrame, start: int = K.LEARNING_CURVE_START) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .clean import drop_missing, in_bbox
 from .dims import join_dim, materialise
+from .ranks import positions
 
 
 def wide_points(train: DataFrame, extra_keys=()) -> DataFrame:
@@ -60,7 +61,7 @@ def option_lists(train: DataFrame) -> DataFrame:
     """Sorted distinct option values in long form (list, value, position).
 
     A missing event type is listed as ``Unknown``; junction NULLs are dropped.
-    One scan, one shuffle: every list is a key of a single distinct.
+    One scan, one distinct over all lists; then range-partitioned positions, so a list may have any length.
     """
     kv = train.select(F.explode(F.array(
         F.struct(F.lit("police_stations").alias("list"), F.col("police_station").alias("value")),
@@ -71,8 +72,7 @@ def option_lists(train: DataFrame) -> DataFrame:
         F.struct(F.lit("junctions").alias("list"), F.col("junction").alias("value")),
     )).alias("kv")).select("kv.list", "kv.value")
     d = kv.filter(F.col("value").isNotNull()).distinct()
-    pos = F.row_number().over(Window.partitionBy("list").orderBy("value")) - 1
-    return d.withColumn("position", pos.cast("int"))
+    return positions(d, "list", "value")
 
 
 def top_junctions(history: DataFrame, key: str, k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .dims import join_dim, materialise as _dims_materialise
+from .ranks import key_hash, positions, smallest_in_class
 
 LABEL_ORDER = K.SEVERITY_LEVELS
 
@@ -24,8 +25,8 @@ def _cat(c: str):
 def fit_vocab(df: DataFrame, columns=K.CATEGORICAL_FEATURES) -> DataFrame:
     """Per column: sorted distinct text values plus ``Unknown``; code = position.
 
-    Long form (feature, value, code). One distinct over all columns (one shuffle);
-    the ranking window sees one row per distinct value only.
+    Long form (feature, value, code). One distinct over all columns (one shuffle), then
+    range-partitioned positions: a column's values may be any number.
     """
     spark = df.sparkSession
     kv = df.select(F.explode(F.array(*[
@@ -33,8 +34,7 @@ def fit_vocab(df: DataFrame, columns=K.CATEGORICAL_FEATURES) -> DataFrame:
     ).select("kv.feature", "kv.value")
     unknown = spark.createDataFrame([(c, K.UNKNOWN) for c in columns], "feature string, value string")
     d = kv.unionByName(unknown).distinct()
-    code = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
-    return d.withColumn("code", code.cast("int"))
+    return positions(d, "feature", "value", "code")
 
 
 def encode(df: DataFrame, vocab: DataFrame, columns=K.CATEGORICAL_FEATURES, suffix: str = "_code") -> DataFrame:
@@ -93,6 +93,28 @@ def split_flag(key_col: str = "row_key", seed: int = K.SPLIT_SEED) -> F.Column:
     return h < F.lit(K.TEST_FRACTION_PREFIX)
 
 
+def stratified_split(df: DataFrame, label: str = "congestion_severity", key_col: str = "row_key",
+                     seed: int = K.SPLIT_SEED, into: str = "is_test") -> DataFrame:
+    """``df`` with the held-out flag, stratified by ``label`` when every class has two rows.
+
+    Of a class of n rows the round(n / 5) (at least one, at most n - 1) with the smallest key hashes are held
+    out, so each class is represented on both sides. The k-th smallest hash is found by a radix
+    histogram (``smallest_in_class``): no sort and no window over a class, whatever share of the rows it has. Rows with
+    one key (identical rows) stay on one side. Without that support the plain hash split applies, as in
+    the original. A null label is a class of its own.
+    """
+    own = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    hashed = _materialise(df.select(own.alias("class"), key_hash(key_col, seed).alias("h")), "split_hashes")
+    support = label_support(hashed, "class")
+    if not support.agg(F.coalesce(F.bool_and("all_supported"), F.lit(False))).first()[0]:
+        return df.withColumn(into, split_flag(key_col, seed))
+    n = F.col("n")
+    wanted = support.select("class", F.greatest(F.lit(1), F.least(n - 1, F.floor((2 * n + 5) / 10))).alias("k"))
+    limits = smallest_in_class(hashed, wanted)
+    out = join_dim(df.withColumn("class", own), limits, "class", name="split_limits")
+    return out.withColumn(into, key_hash(key_col, seed) <= F.col("threshold")).drop("class", "threshold")
+
+
 def label_index(col: str = "congestion_severity") -> F.Column:
     expr = None
     for i, lvl in enumerate(LABEL_ORDER):
@@ -182,7 +204,7 @@ def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_tre
     out_dir = out_dir or work_path(spark, "models")
     crows = classifier_rows(train, fb)
     vocab = _materialise(fit_vocab(crows), "vocab")
-    cfeat = _materialise(feature_table(crows, vocab).withColumn("is_test", split_flag())
+    cfeat = _materialise(stratified_split(feature_table(crows, vocab))
                          .select("row_key", "is_test", "weight", "congestion_severity", *FEATURE_COLS),
                          "clf_rows")
     rfeat = _materialise(feature_table(regressor_rows(train, fb), vocab).withColumn("is_test", split_flag())
