@@ -3,10 +3,8 @@
 import random
 from collections import Counter
 
-import brute
 import numpy as np
 import pytest
-from conftest import SF, prose
 from incidentflow.llm import ngram_join, suffix_dedup
 from incidentflow.llm import queries as Q
 from incidentflow.llm.common import Scratch
@@ -15,6 +13,9 @@ from incidentflow.llm.count_tree import GROUPS, CountTree, enough
 from incidentflow.llm.suffix_sort import Suffixes
 from pyspark.sql import functions as F
 
+from . import brute
+from .rows import SF, prose
+
 
 def pairs(df):
     return [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
@@ -108,6 +109,22 @@ def test_join_chains_and_hot_groups(spark, tmp_path, how):
     check_join(spark.read.parquet(str(tmp_path / "d")), **how)
 
 
+@pytest.mark.parametrize("most", [10000, 0])
+def test_join_of_many_short_rows(spark, tmp_path, most):
+    """A token has the same width in a slice of 70,000 rows as in a small one."""
+    rows = [(i, f"w{i} one two three four five six" if i % 5000 == 0 else f"{i} {i % 7}") for i in range(70_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(100_000, "w5000 one two three four five six"), (100_001, "7 0")], "doc_id long, text string").write.mode(
+        "append").parquet(str(tmp_path / "d"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_components(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got[100_000] == 5000 and got[100_001] == 7 and sum(i != c for i, c in got.items()) == 2
+
+
 def test_count_tree_loses_nothing():
     r = np.random.default_rng(3)
     n = r.integers(5, 60, 400)

@@ -5,17 +5,18 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF, messy_rows
 from incidentflow.llm import (decontam, html_extract, langid, licenses, packing, quality, simple8b, token_counts,
                               token_files)
 from incidentflow.llm import queries as Q
 from incidentflow.llm.bpe import Encoder
 from pyspark.sql import functions as F
 
+from . import brute
+from .rows import SF, messy_rows
+
 
 def rows(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
