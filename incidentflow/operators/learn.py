@@ -197,9 +197,14 @@ def _materialise(df: DataFrame, name: str) -> DataFrame:
 
 def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_trees: int = 100,
             max_depth: int = 12) -> DataFrame:
-    """Refit both models on history plus ledger, evaluate on the held-out split,
-    refit on everything and save (I15, I3-I6, A7). Returns one summary row."""
+    """Refit both models on history plus ledger, evaluate on the held-out split (stratified by severity),
+    refit on everything and publish (I15, I3-I6, A7). Returns one summary row.
+
+    The models and the vocabulary are one version under ``out_dir``: readers keep the former version until all
+    parts of the new one are written (``sources.publish``).
+    """
     from ..session import work_path
+    from ..sources.publish import publish
     spark = train.sparkSession
     out_dir = out_dir or work_path(spark, "models")
     crows = classifier_rows(train, fb)
@@ -214,19 +219,15 @@ def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_tre
     test_pred = clf_eval.transform(cfeat.filter(F.col("is_test")).withColumn("label", label_index()))
     clf = fit_severity(cfeat, num_trees, max_depth)
     all_pred = clf.transform(cfeat.withColumn("label", label_index()))
-    n_reg = rfeat.count()
+    n_reg, reg = rfeat.count(), None
     if n_reg > 0:
         reg_eval = fit_duration(rfeat.filter(~F.col("is_test")), num_trees, max_depth)
         reg_test = regression_metrics(reg_eval.transform(rfeat.filter(F.col("is_test"))))
         reg = fit_duration(rfeat, num_trees, max_depth)
         reg_all = regression_metrics(reg.transform(rfeat))
-        reg.write().overwrite().save(f"{out_dir}/duration")
     else:
         reg_test = reg_all = spark.createDataFrame([(0, None, None)], "n long, r2 double, mae double")
-    # says whether a duration model belongs to this fit, so that loading need not guess from an error
-    spark.range(1).select(F.lit(n_reg > 0).alias("has_duration")).write.mode("overwrite").parquet(f"{out_dir}/manifest")
-    clf.write().overwrite().save(f"{out_dir}/severity")
-    vocab.write.mode("overwrite").parquet(f"{out_dir}/vocab")
+    publish(spark, out_dir, lambda folder: save_models(folder, vocab, clf, reg))
     ct = classification_metrics(test_pred).first()
     ca = classification_metrics(all_pred).first()
     rt, ra = reg_test.first(), reg_all.first()
@@ -237,11 +238,25 @@ def retrain(train: DataFrame, fb: DataFrame, out_dir: str | None = None, num_tre
         "duration_test_r2 double, duration_test_mae double, duration_all_r2 double, model_path string")
 
 
+def save_models(folder: str, vocab: DataFrame, severity, duration=None) -> None:
+    """All parts of a model version into ``folder``."""
+    # says whether a duration model belongs to this fit, so that loading need not guess from an error
+    vocab.sparkSession.range(1).select(F.lit(duration is not None).alias("has_duration")).write.mode(
+        "overwrite").parquet(f"{folder}/manifest")
+    severity.write().overwrite().save(f"{folder}/severity")
+    if duration is not None:
+        duration.write().overwrite().save(f"{folder}/duration")
+    vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
+
+
 def load_models(path: str):
-    """(vocab DataFrame, severity PipelineModel, duration PipelineModel or None)."""
+    """(vocab DataFrame, severity PipelineModel, duration PipelineModel or None) of the published version."""
     from pyspark.ml import PipelineModel
     from pyspark.sql import SparkSession
+
+    from ..sources.publish import current
     spark = SparkSession.getActiveSession()
+    path = current(spark, path) or path                # a folder of parts is a version by itself
     vocab = spark.read.parquet(f"{path}/vocab")
     sev = PipelineModel.load(f"{path}/severity")
     has_duration = spark.read.parquet(f"{path}/manifest").first()["has_duration"]

@@ -82,6 +82,26 @@ def append_two_writers(spark, sf):
     return R.read_feedback(spark, path).withColumn("timestamp", ts_text("timestamp"))
 
 
+@register("append_indexed", S.BASE_FB + """
+SELECT 4 AS batches, (SELECT count(*) FROM fb) AS n, (SELECT count(*) FROM fb) AS n_seq,
+       (SELECT count(*) FROM fb) AS last_seq, 1 AS after_compaction, (SELECT count(*) FROM fb) AS rows_read""")
+def append_indexed(spark, sf):
+    """Appends without ``seq`` that read the ledger's index only; then compaction and a replay."""
+    path = work_path(spark, "ledger")
+    fb = fx.feedback(spark, sf)
+    for batch in range(4):
+        W.append_feedback(fb.filter(F.col("seq") % 4 == batch).drop("seq"), path, batch_id=batch)
+    index = W.ledger_index(spark, path).agg(F.count(F.lit(1)).cast("int").alias("batches"), F.sum("n").alias("n"))
+    read = R.read_feedback(spark, path).agg(F.countDistinct("seq").alias("n_seq"), F.max("seq").alias("last_seq"))
+    before = index.crossJoin(read).first()                       # one row each
+    W.compact_ledger(spark, path)
+    W.append_feedback(fb.filter(F.col("seq") % 4 == 3).drop("seq"), path, batch_id=3)      # a replay after it
+    after = R.read_feedback(spark, path).agg(F.count(F.lit(1)).alias("rows_read"))
+    count = W.ledger_index(spark, path).count()
+    return after.select(*[F.lit(before[c]).alias(c) for c in ("batches", "n", "n_seq", "last_seq")],
+                        F.lit(count).alias("after_compaction"), "rows_read")
+
+
 @register("scan_incidents_csv", S.BASE_INC + f"""
 SELECT {INC_COLS}, {S.ts_text('start_datetime')} AS start_datetime,
        {S.ts_text('closed_datetime')} AS closed_datetime FROM inc""")
@@ -130,6 +150,14 @@ def stream_stats(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("publish_stats", S.BASE_FB + STATS_SQL)
+def publish_stats(spark, sf):
+    """J2 by versions: each micro-batch publishes the statistics; the reader follows the pointer."""
+    out, ckpt = work_path(spark, "published_stats"), work_path(spark, "published_stats_ckpt")
+    ST.publish_stats(_closure_stream(spark, sf), out, ckpt).awaitTermination()
+    return ST.read_stats(spark, out)
+
+
 @register("stream_retrain")
 def stream_retrain(spark, sf):
     """Each appended micro-batch triggers a refit on history plus the whole ledger."""
