@@ -145,3 +145,50 @@ def test_blueprint_paths_agree(spark):
     b = P.blueprint_from_history(req, inc)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _brute_nearest(points, ref, k):
+    import math
+
+    def away(a, b, c, d):
+        p, q = math.radians(a), math.radians(c)
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    return {i: sorted(away(a, b, c, d) for _, c, d in ref)[:k] for i, a, b in points}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "far", "meridian", "poles", "same", "few"])
+def test_nearest_on_hard_layouts(spark, kind):
+    """Dense clusters, far-away points, both sides of 180 degrees, poles, equal places, fewer points than k."""
+    r = random.Random(11)
+    ref = {"clustered": [(12 + r.gauss(0, 0.0005), 77 + r.gauss(0, 0.0005)) for _ in range(200)]
+           + [(r.uniform(-60, 60), r.uniform(-170, 170)) for _ in range(30)],
+           "far": [(12.9 + r.random() / 10, 77.5 + r.random() / 10) for _ in range(80)],
+           "meridian": [(r.uniform(-5, 5), (179.9 + r.uniform(0, 0.2) + 180) % 360 - 180) for _ in range(60)],
+           "poles": [(r.uniform(88, 90), r.uniform(-180, 180)) for _ in range(60)] + [(-90.0, 10.0), (90.0, 0.0)],
+           "same": [(12.5, 77.5)] * 40 + [(12.6, 77.5)] * 3, "few": [(1.0, 2.0), (1.0, 3.0)]}[kind]
+    ref = [(f"J{i:03d}", a, b) for i, (a, b) in enumerate(ref)]
+    points = [(i, a + r.gauss(0, 0.01), b + r.gauss(0, 0.01)) for i, (_, a, b) in enumerate(ref[:60]) if abs(a) < 89.9]
+    points += [(500 + i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)] + [(900, 89.99, -179.99), (901, 0.0, 180.0)]
+    rdf = spark.createDataFrame(ref, "name string, lat double, lng double")
+    pdf = spark.createDataFrame(points + [(999, None, 1.0)], "incident_id long, latitude double, longitude double")
+    got = {}
+    for x in N.nearest(pdf, rdf, "incident_id", k=3).collect():
+        got.setdefault(x.incident_id, []).append((x.rank, x.dist_m))
+    want = _brute_nearest(points, ref, 3)
+    assert set(got) == set(want)
+    for i, d in want.items():
+        assert [x[1] for x in sorted(got[i])] == pytest.approx(d, rel=1e-6, abs=0.05), i
+
+
+def test_candidate_table_grows_with_the_reference_points(spark):
+    """Its size does not depend on how far the query points are, and is linear in the reference points."""
+    def size(n):
+        r = random.Random(n)
+        ref = [(f"J{i}", 12.8 + r.random() * 0.4, 77.4 + r.random() * 0.4) for i in range(n)]
+        lists = N.candidates(spark.createDataFrame(ref, "name string, lat double, lng double"), 3)
+        return lists.agg(F.sum(F.size("js"))).first()[0]
+
+    small, large = size(100), size(800)
+    assert large <= 3 * 8 * small
