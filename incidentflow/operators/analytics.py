@@ -57,6 +57,26 @@ def closure_counts(df: DataFrame, col: str = "requires_road_closure") -> DataFra
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def top_k_each(df: DataFrame, columns: dict[str, str], k: int = 1) -> DataFrame:
+    """(kind, label, n, rank): the k most frequent labels of each of several text columns, from one scan.
+
+    ``columns`` names a column for each kind. One aggregate over grouping sets counts all of them (partial, then
+    final, one shuffle); the ranking keeps at most k rows of a kind in each partition before it exchanges
+    them, so nothing that grows with the labels meets in one task. Ties go to the smallest label; nulls are
+    not labels.
+    """
+    names = list(columns.values())
+    sets = df.groupingSets([[c] for c in names], *names).agg(F.count(F.lit(1)).alias("n"),
+                                                             *[F.grouping(c).alias(f"_not_{c}") for c in names])
+    kind, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, c in columns.items():
+        here = F.col(f"_not_{c}") == 0
+        kind, label = F.when(here, F.lit(name)).otherwise(kind), F.when(here, F.col(c)).otherwise(label)
+    counts = sets.select(kind.alias("kind"), label.alias("label"), "n").filter("label IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.asc("label")))
+    return counts.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
+
+
 def top_label(df: DataFrame, col: str) -> DataFrame:
     """The most frequent value (ties: smallest value) as one row."""
     return value_counts(df, col, k=1)

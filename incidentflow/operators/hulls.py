@@ -2,15 +2,14 @@
 
 Scale plan (a station may hold a third of all rows):
 
-1. Exact pre-filter in Spark: a hull vertex is the westmost or eastmost point
-   of its own latitude row, so ``groupBy(station, latitude)`` keeping
-   ``min``/``max`` longitude (partial/final aggregate) drops every other point.
-2. Salted level 1: the survivors are spread over ``(station, salt)`` groups and
-   each group returns the vertices of its partial hull (grouped pandas).
-3. Level 2: the hull of a union is the hull of the partial hulls, so the few
-   partial vertices per station are merged in one small group per station.
-
-Each group's hull is an exact integer quickhull (numpy-vectorised side tests
+1. Every task reduces its own input rows to the vertices of one partial hull per station before anything is
+   shuffled: a batch's points join the vertices held so far and all others are thrown away. So only vertices
+   travel, however fine or unique the coordinates are.
+2. The partial hulls of a station meet in ``salts`` groups, which merge them in the same way (the hull of a
+   union is the hull of the partial hulls).
+3. The few vertices that are left per station are merged in one small group per station.
+
+Each hull is an exact integer quickhull (numpy-vectorised side tests
 on micro-degree coordinates), so collinear points are detected exactly and
 never become vertices.
 """
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,32 +57,70 @@ def convex_hull(points) -> list:
     return hull if len(hull) >= 3 else [tuple(a), tuple(b)]
 
 
-def _hull_frame(pdf: pd.DataFrame) -> list:
-    """Hull vertices of one group as (lng, lat) doubles, computed on micro-degree integers.
+def _hull_places(lng: np.ndarray, lat: np.ndarray) -> list[int]:
+    """Places of the hull vertices, computed on micro-degree integers.
 
-    Vectorised: duplicates collapse with ``np.unique`` (keeping the first original
-    double of each micro-degree point); only hull vertices are mapped back.
+    Of several doubles of one micro-degree point the smallest (lng, lat) stands for it, so the
+    vertices do not depend on the order of the rows.
     """
-    lng = pdf["longitude"].to_numpy(dtype=np.float64)
-    lat = pdf["latitude"].to_numpy(dtype=np.float64)
-    xy = np.stack([np.rint(lng * MICRO), np.rint(lat * MICRO)], axis=1).astype(np.int64)
+    order = np.lexsort((lat, lng))
+    xy = np.stack([np.rint(lng[order] * MICRO), np.rint(lat[order] * MICRO)], axis=1).astype(np.int64)
     uniq, first = np.unique(xy, axis=0, return_index=True)        # rows sorted by (x, y)
-    hull = convex_hull(uniq)
-    keys = uniq[:, 0]                                             # x column, ascending
-    out = []
-    for hx, hy in hull:
+    keys, out = uniq[:, 0], []                                    # x column, ascending
+    for hx, hy in convex_hull(uniq):
         lo, hi = np.searchsorted(keys, hx, "left"), np.searchsorted(keys, hx, "right")
-        i = lo + int(np.searchsorted(uniq[lo:hi, 1], hy))
-        j = first[i]
-        out.append((float(lng[j]), float(lat[j])))
+        out.append(int(order[first[lo + int(np.searchsorted(uniq[lo:hi, 1], hy))]]))
     return out
 
 
-def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    verts = _hull_frame(pdf)
-    st = pdf["police_station"].iloc[0]
-    return pd.DataFrame({"police_station": [st] * len(verts),
-                         "longitude": [v[0] for v in verts], "latitude": [v[1] for v in verts]})
+def _hull_frame(pdf: pd.DataFrame) -> list:
+    """Hull vertices of one group as (lng, lat) doubles."""
+    lng, lat = (pdf[c].to_numpy(dtype=np.float64) for c in ("longitude", "latitude"))
+    return [(float(lng[i]), float(lat[i])) for i in _hull_places(lng, lat)]
+
+
+HELD = 200_000                  # vertices that a task holds before it passes them on
+
+
+def partial_hulls(points: DataFrame) -> DataFrame:
+    """(police_station, longitude, latitude): the vertices of each task's partial hulls; no shuffle.
+
+    A task holds only vertices (a few for each station); when it holds too many, because of very many stations, it
+    passes them on and starts anew, which costs rows and never a vertex.
+    """
+    names = ["police_station", "longitude", "latitude"]
+
+    def run(batches):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, (x, _) in held.items() for _ in range(len(x))], pa.string()),
+                 *(pa.array(np.concatenate([v[i] for v in held.values()])) for i in (0, 1))], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            station = b.column("police_station").dictionary_encode()
+            code = np.asarray(station.indices, np.int64)
+            order = np.argsort(code, kind="stable")
+            lng, lat = (np.asarray(b.column(c), np.float64)[order] for c in names[1:])
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(code[order])) + 1, [len(code)]])
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                name = station.dictionary[int(code[order[lo]])].as_py()
+                x, y = lng[lo:hi], lat[lo:hi]
+                if name in held:
+                    x, y = np.concatenate([held[name][0], x]), np.concatenate([held[name][1], y])
+                at = _hull_places(x, y)
+                held[name] = (x[at], y[at])
+            if sum(len(x) for x, _ in held.values()) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    return points.select(*names).filter("police_station IS NOT NULL").mapInArrow(
+        run, "police_station string, longitude double, latitude double")
 
 
 def _final(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,30 +143,23 @@ def prefilter(points: DataFrame, key: str = "police_station") -> DataFrame:
     return (ends.select(key, "latitude", F.explode(F.array_distinct(F.array("w", "e"))).alias("longitude")))
 
 
-def station_hulls(train: DataFrame, salts: int | None = None, rows_per_group: int = 50_000) -> DataFrame:
+MERGE_GROUPS = 16
+
+
+def station_hulls(train: DataFrame, salts: int | None = None) -> DataFrame:
     """(police_station, ring [[lng, lat], ...] closed, n_vertices, degenerate).
 
-    Salting is per station: after the exact pre-filter, each station gets
-    ceil(points / ``rows_per_group``) salt buckets (a hot station many, a small
-    one a single group), so no grouped-pandas call holds more than about
-    ``rows_per_group`` points. ``salts`` forces a fixed count (tests).
+    Partial hulls of the tasks, merged in ``salts`` groups per station and then in one.
     """
-    from .dims import join_dim, materialise
+    from .dims import join_dim
     pts = wide_points(train)
     cents = centroids(pts, "police_station").select(F.col("name").alias("police_station"),
                                                     F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng"))
-    reduced = materialise(prefilter(pts.select("police_station", "latitude", "longitude")), "hull_points")
-    if salts is None:
-        per_station = reduced.groupBy("police_station").agg(
-            F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(rows_per_group)))).alias("_salts"))
-        reduced = join_dim(reduced, per_station, "police_station", "inner")
-    else:
-        reduced = reduced.withColumn("_salts", F.lit(int(salts)))
-    salted = reduced.withColumn("_salt", F.pmod(F.xxhash64("latitude", "longitude"), F.col("_salts")))
-    level1 = salted.groupBy("police_station", "_salt").applyInPandas(
-        _partial, "police_station string, longitude double, latitude double")
-    level2_in = join_dim(level1, cents, "police_station", "left", name="hull_centroids")
-    return level2_in.groupBy("police_station").applyInPandas(
+    local = partial_hulls(pts)
+    salted = local.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(int(salts or MERGE_GROUPS))))
+    merged = partial_hulls(salted.repartition("police_station", "_salt").sortWithinPartitions("police_station"))
+    named = join_dim(merged, cents, "police_station", "left", name="hull_centroids")
+    return named.groupBy("police_station").applyInPandas(
         _final, "police_station string, ring array<array<double>>, n_vertices int, degenerate boolean")
 
 

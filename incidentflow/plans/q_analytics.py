@@ -111,12 +111,8 @@ def hotspot_sample(spark, sf):
 SELECT * FROM st UNION ALL SELECT * FROM co UNION ALL SELECT * FROM ca""")
 def top_labels(spark, sf):
     """Argmax station, corridor and cause (D18); ties go to the smallest label."""
-    serve = _serve(spark, sf)
-    parts = []
-    for kind, col in (("station", "police_station"), ("corridor", "corridor"), ("cause", "event_cause")):
-        parts.append(A.top_label(serve, col).select(F.lit(kind).alias("kind"),
-                                                    F.col(col).alias("label"), "n"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return A.top_k_each(_serve(spark, sf), {"station": "police_station", "corridor": "corridor",
+                                            "cause": "event_cause"}).select("kind", "label", "n")
 
 
 @register("peak_surge", S.BASE_SERVE + f"""

@@ -9,7 +9,10 @@ from ..operators import geo as GEO
 from ..operators import hulls as H
 from ..operators import nearest as N
 from ..operators.features import train_table
+from ..session import work_path
 from ..sources import fixtures as fx
+from ..sources import readers as R
+from ..sources import writers as W
 from . import sqlbase as S
 from .registry import register, r6
 
@@ -69,7 +72,7 @@ def nearest_points(spark, sf):
     return out.select("incident_id", "rank", "junction", F.round("dist_m", 3).alias("dist_m"))
 
 
-HULL_SQL = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.WPTS) + """
+HULL_CTES = """
 , pts AS (
   SELECT DISTINCT police_station, CAST(round(longitude * 1000000.0::DOUBLE) AS BIGINT) AS x,
                   CAST(round(latitude * 1000000.0::DOUBLE) AS BIGINT) AS y FROM wpts),
@@ -95,16 +98,56 @@ HULL_SQL = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.WPTS) + """
           JOIN sdim d ON d.name = st.police_station,
        (VALUES (-0.015::DOUBLE, -0.015::DOUBLE), (0.015::DOUBLE, -0.015::DOUBLE),
                (0.015::DOUBLE, 0.015::DOUBLE), (-0.015::DOUBLE, 0.015::DOUBLE)) c(cx, cy)
-  WHERE coalesce(nv.n, 0) < 3)
-SELECT v.police_station, v.x, v.y FROM vtx v JOIN nv ON nv.police_station = v.police_station WHERE nv.n >= 3
-UNION ALL SELECT police_station, x, y FROM sq"""
+  WHERE coalesce(nv.n, 0) < 3),
+  corners AS (
+  SELECT v.police_station, v.x, v.y FROM vtx v JOIN nv ON nv.police_station = v.police_station WHERE nv.n >= 3
+  UNION ALL SELECT police_station, x, y FROM sq)"""
+HULL_SQL = S.with_ctes(S.INC, S.FILLED, S.TRAIN, S.WPTS) + HULL_CTES + "\nSELECT police_station, x, y FROM corners"
+
+
+def _vertices(hulls):
+    """One row for each vertex of a ring, as integer micro-degree points."""
+    v = hulls.select("police_station", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p"))
+    return v.select("police_station", F.round(F.col("p")[0] * F.lit(1e6)).cast("long").alias("x"),
+                    F.round(F.col("p")[1] * F.lit(1e6)).cast("long").alias("y"))
+
+
+@register("polygon_files", HULL_SQL)
+def polygon_files(spark, sf):
+    """The polygons written as GeoJSON FeatureCollection files and read back: their vertices (A5)."""
+    path = work_path(spark, "polygons_geojson")
+    W.write_feature_collections(H.to_geojson(H.station_hulls(train_table(fx.incidents(spark, sf)))), path)
+    return _vertices(R.read_feature_collections(spark, path))
+
+
+# some requests name the default entry (it has a centroid and no polygon) or a station without history
+_OTHER_STATION = ("CASE WHEN request_id % 7 = 0 THEN 'default' WHEN request_id % 11 = 0 THEN 'No such station' "
+                  "ELSE police_station END")
+
+
+@register("jurisdiction_rings", S.with_ctes(S.INC, S.FILLED, S.SERVE, S.TRAIN, S.REQ, S.WPTS) + HULL_CTES + f"""
+, rings AS (SELECT police_station, string_agg(x || ' ' || y, ',' ORDER BY x, y) AS ring FROM corners GROUP BY 1),
+  asked AS (SELECT request_id, {_OTHER_STATION} AS police_station FROM req)
+SELECT a.request_id, a.police_station,
+       CASE WHEN g.ring IS NOT NULL THEN 'polygon' WHEN d.name IS NOT NULL THEN 'circle' ELSE 'none' END AS jurisdiction_kind,
+       g.ring, round(d.lat, 6) AS center_lat, round(d.lng, 6) AS center_lng
+FROM asked a LEFT JOIN rings g ON g.police_station = a.police_station
+             LEFT JOIN sdim d ON d.name = a.police_station""")
+def jurisdiction_rings(spark, sf):
+    """Jurisdiction with its polygon, as sorted vertices; stations of all three kinds occur."""
+    inc = fx.incidents(spark, sf)
+    tr = train_table(inc)
+    asked = fx.requests_from_incidents(inc).withColumn("police_station", F.expr(_OTHER_STATION))
+    out = H.attach_jurisdiction(asked, H.station_hulls(tr), GEO.station_centroids(tr))
+    points = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda p: F.struct(
+        F.round(p[0] * F.lit(1e6)).cast("long").alias("x"), F.round(p[1] * F.lit(1e6)).cast("long").alias("y")))
+    text = F.array_join(F.transform(F.array_sort(points), lambda p: F.concat_ws(" ", p["x"].cast("string"),
+                                                                                p["y"].cast("string"))), ",")
+    return out.select("request_id", "police_station", "jurisdiction_kind", text.alias("ring"),
+                      r6("center_lat").alias("center_lat"), r6("center_lng").alias("center_lng"))
 
 
 @register("hull_vertices", HULL_SQL)
 def hull_vertices(spark, sf):
     """Hull vertices per station as integer micro-degree points (D10, oracle form)."""
-    h = H.station_hulls(train_table(fx.incidents(spark, sf)))
-    v = h.select("police_station", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p"))
-    return v.select("police_station",
-                    F.round(F.col("p")[0] * F.lit(1e6)).cast("long").alias("x"),
-                    F.round(F.col("p")[1] * F.lit(1e6)).cast("long").alias("y"))
+    return _vertices(H.station_hulls(train_table(fx.incidents(spark, sf))))

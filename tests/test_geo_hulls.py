@@ -9,6 +9,8 @@ from incidentflow.operators import geo as GEO
 from incidentflow.operators import hulls as H
 from incidentflow.operators import nearest as N
 from incidentflow.operators.features import train_table
+from incidentflow.sources import readers as R
+from incidentflow.sources import writers as W
 
 
 def _train(spark, pts):
@@ -192,3 +194,51 @@ def test_candidate_table_grows_with_the_reference_points(spark):
 
     small, large = size(100), size(800)
     assert large <= 3 * 8 * small
+
+
+def test_hulls_shuffle_vertices_only(spark):
+    """Every GPS latitude is unique, so no point shares a row with another; only hull vertices leave a task."""
+    r = random.Random(21)
+    pts = [("A" if i % 3 else "B", 12.9 + r.random() * 0.1, 77.5 + r.random() * 0.1) for i in range(30_000)]
+    df = spark.createDataFrame(pts, "police_station string, latitude double, longitude double").repartition(4)
+    local = H.partial_hulls(df)
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert local.count() < 400
+    for st in "AB":
+        own = [(a, b) for k, a, b in pts if k == st]
+        want = H.convex_hull([(round(b * 1e6), round(a * 1e6)) for a, b in own])
+        kept = {(round(x.longitude * 1e6), round(x.latitude * 1e6)) for x in local.filter(F.col("police_station") == st).collect()}
+        assert set(want) <= kept
+
+
+def test_partial_hulls_with_many_stations(spark, monkeypatch):
+    """A task that holds too many vertices passes them on; no vertex is lost."""
+    monkeypatch.setattr(H, "HELD", 50)
+    r = random.Random(22)
+    pts = [(f"S{i % 40}", 12.9 + r.random() * 0.1, 77.5 + r.random() * 0.1) for i in range(4000)]
+    whole = {x.police_station: _ring_set(x.ring) for x in H.station_hulls(_train(spark, pts)).collect()}
+    for st, ring in whole.items():
+        assert ring == set(H.convex_hull([(round(b * 1e6), round(a * 1e6)) for k, a, b in pts if k == st]))
+    assert len(whole) == 40
+
+
+def test_feature_collection_files(spark, tmp_path):
+    """Each file is one valid FeatureCollection; names with quotes survive; an empty table writes no feature."""
+    import glob
+    import json
+    pts = [(f'sq "{i}" é', 12.90 + i / 1000, 77.50) for i in range(9)] + [(f'sq "{i}" é', 12.90, 77.60) for i in range(9)]
+    pts += [(f'sq "{i}" é', 13.00, 77.60 - i / 1000) for i in range(9)]
+    hulls = H.station_hulls(_train(spark, pts))
+    W.write_feature_collections(H.to_geojson(hulls).repartition(3, "police_station"), str(tmp_path / "g"))
+    names = []
+    for f in glob.glob(str(tmp_path / "g" / "part-*")):
+        text = open(f).read()
+        if text:
+            whole = json.loads(text)
+            assert whole["type"] == "FeatureCollection"
+            names += [x["properties"]["police_station"] for x in whole["features"]]
+    assert sorted(names) == sorted({p[0] for p in pts})
+    back = {x.police_station: x.ring for x in R.read_feature_collections(spark, str(tmp_path / "g")).collect()}
+    assert back == {x.police_station: x.ring for x in hulls.collect()}
+    W.write_feature_collections(H.to_geojson(hulls).limit(0), str(tmp_path / "none"))
+    assert R.read_feature_collections(spark, str(tmp_path / "none")).count() == 0
