@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, licenses, ngram_join, packing, phrase_dedup, quality, suffix_dedup, token_alignment
-from . import token_counts, vector_codes
+from . import (decontam, html_extract, langid, licenses, ngram_join, oracles, packing, phrase_dedup, quality, suffix_dedup,
+               token_alignment, token_counts, vector_codes)
 from .common import Scratch
 from .token_files import read_tokens, write_tokens
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
 
 
 def query(f):
