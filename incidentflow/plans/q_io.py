@@ -116,6 +116,32 @@ def scan_incidents_csv(spark, sf):
         {"start_datetime": ts_text("start_datetime"), "closed_datetime": ts_text("closed_datetime")})
 
 
+def write_damaged_csv(inc, path):
+    """The history as CSV lines, some cut short and some with a text for a latitude."""
+    text = inc.withColumns({c: F.col(c).cast("string") for c in inc.columns}).withColumns(
+        {"start_datetime": ts_text("start_datetime"), "closed_datetime": ts_text("closed_datetime")})
+    text = text.withColumn("latitude", F.when(F.col("incident_id").cast("long") % 51 == 0, "north").otherwise(F.col("latitude")))
+    line = F.to_csv(F.struct(*text.columns))
+    line = F.when(F.col("incident_id").cast("long") % 50 == 0, F.concat("incident_id", F.lit(",cut"))).otherwise(line)
+    (text.select(line.alias(",".join(text.columns))).write.option("header", True).option("sep", "\x01").option("quote", "\x02")
+     .csv(path))
+
+
+@register("scan_incidents_rejects", S.BASE_INC + """
+SELECT incident_id, CASE WHEN incident_id % 50 = 0 THEN 'fields' ELSE 'values: latitude' END AS reason,
+       (SELECT count(*) FROM inc) AS lines, (SELECT count(*) FROM inc WHERE incident_id % 50 <> 0) AS kept
+FROM inc WHERE incident_id % 50 = 0 OR incident_id % 51 = 0""")
+def scan_incidents_rejects(spark, sf):
+    """A damaged CSV: what cannot be read lands in the side table with its reason, and is counted (A1)."""
+    path = work_path(spark, "incidents_damaged")
+    write_damaged_csv(fx.incidents(spark, sf), f"{path}/csv")
+    rows, rejects, counts = R.read_incidents_checked(spark, f"{path}/csv", rejects_path=f"{path}/rejects")
+    kept = rows.count()
+    number = F.coalesce(F.get_json_object("record", "$.incident_id"), F.split("record", ",")[0]).cast("long")
+    return rejects.select(number.alias("incident_id"), "reason", F.lit(counts.get["lines"]).alias("lines"),
+                          F.lit(kept).cast("long").alias("kept"))
+
+
 @register("scan_incidents_stored", S.BASE_SERVE + "\nSELECT incident_id, latitude, longitude FROM inc WHERE "
           "latitude > 12.8 AND latitude < 13.2 AND longitude > 77.4 AND longitude < 77.8")
 def scan_incidents_stored(spark, sf):

@@ -113,3 +113,24 @@ def test_shared_folder_is_required_off_local_mode():
 def test_package_code_travels_by_value():
     from pyspark import cloudpickle
     assert "incidentflow" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_rejected_csv_records(spark, tmp_path):
+    """Short and long lines and texts that a column cannot hold: side table with file and reason, all counted."""
+    good = 'id-less,1,Accident,High,true,Hosur,Hebbal,J1,12.9,77.5,2024-01-01 10:00:00,2024-01-01 11:00:00'
+    head = "remark,incident_id,event_cause,priority,requires_road_closure,corridor,police_station,junction,latitude,longitude," \
+           "start_datetime,closed_datetime"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join([head, good, "x,2,Accident", good.replace("12.9", "north").replace(",1,", ",3,")]))
+    (tmp_path / "in" / "b.csv").write_text("\n".join([head, good.replace(",1,", ",4,") + ",one,more", good.replace(",1,", ",5,").replace(
+        "2024-01-01 10:00:00", "noon"), good.replace(",1,", ",6,").replace("12.9", "")]))
+    rows, rejects, counts = R.read_incidents_checked(spark, str(tmp_path / "in"), rejects_path=str(tmp_path / "rejects"))
+    assert sorted(r.incident_id for r in rows.collect()) == [1, 3, 5, 6]
+    assert {r.incident_id: r.latitude for r in rows.collect()} == {1: 12.9, 3: None, 5: 12.9, 6: None}
+    got = sorted((r.file.rsplit("/", 1)[1], r.reason) for r in rejects.collect())
+    assert got == [("a.csv", "fields"), ("a.csv", "values: latitude"), ("b.csv", "fields"), ("b.csv", "values: start_datetime")]
+    seen = counts.get
+    assert seen["lines"] == 6 and seen["malformed"] == 2 and seen["latitude"] == 1 and seen["start_datetime"] == 1
+    assert seen["longitude"] == 0
+    plain = R.read_incidents(spark, str(tmp_path / "in"), fmt="csv").filter("incident_id IN (1, 3, 5, 6)")
+    assert plain.exceptAll(rows).count() == 0 and rows.exceptAll(plain).count() == 0
