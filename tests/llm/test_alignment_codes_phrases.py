@@ -29,7 +29,7 @@ ODD = ["", None, " ", "  ", "a  b", "a \n b", "\n x", "日本語 é  b  c", "x\u
        "x\x7f y\x1f z", "嘛 嘛x", "a\u00a0 b", "a\u2003 b"]
 
 
-@pytest.mark.parametrize("most", [64, 4 << 20])
+@pytest.mark.parametrize("most", [64, 16 << 20])
 def test_alignment_of_odd_texts(spark, most):
     rows = list(enumerate(ODD + ODD))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -226,6 +226,23 @@ def test_quality_order_changes_no_verdict(messy):
     assert sorted(quality.plan_cascade(messy)) == sorted(names)
 
 
+def test_quality_filters_on_every_field(docs):
+    """A filter on any field stays above the statistics: the plan does not copy them, and the rows are the same."""
+    q = quality.quality_rules(docs, order=list(quality.rules()))
+    whole = [r.quality for r in q.select("quality").collect()]
+    for field, test in [*((c, lambda v: v > 5) for c in quality.BASE), ("base_failed", lambda v: not v), ("kept", bool),
+                        ("rule", lambda v: v is None)]:
+        at = F.col(f"quality.{field}")
+        kept = q.filter(at > 5 if field in quality.BASE else ~at if field == "base_failed" else at if field == "kept" else at.isNull())
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct") <= 8, field
+        assert kept.count() == sum(bool(test(r[field])) for r in whole), field
+
+
+def test_quality_order_is_the_same_in_every_run(docs):
+    assert len({tuple(quality.plan_cascade(docs)) for _ in range(3)}) == 1
+
+
 def test_quality_keeps_good_documents(spark):
     kept = Q.op3_quality_rules(spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("not base_failed")
