@@ -193,7 +193,10 @@ SELECT request_id, CAST(14 + tv.i AS INTEGER),
 FROM w, tv
 UNION ALL SELECT request_id, 27, round(dest_lat, 6), round(dest_lng, 6) FROM w""")
 def path_concat(spark, sf):
-    """Two legs source -> detour waypoint -> destination concatenated in order."""
+    """Two legs source -> detour waypoint -> destination concatenated in order.
+
+    One path for every request, to its destination; the original's routes (H16) are ``diversion_routes``.
+    """
     r = fx.requests(spark, sf)
     w_lat, w_lng = G.detour_waypoint("latitude", "longitude", "dest_lat", "dest_lng", 1)
     r = r.withColumn("w_lat", w_lat).withColumn("w_lng", w_lng)
