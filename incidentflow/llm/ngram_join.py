@@ -33,20 +33,27 @@ from .common import (ROW, SPACED, Scratch, id_text, mix, ragged, scan_words, sli
                      with_row_key)
 from .components import components
 from .count_tree import FINE, GROUPS, CountTree, enough, unlike
+from .skew import join_counted
 
 K, PERCENT = 5, 75
 HOT = 512                      # documents of a batch that make a token hot there
 BLOCK = 4096                   # members of a group in one task
 DENSE = 48                     # groups up to this size are compared without a tree
 MARK = 0xFFFF
+STRETCH = 0xFFFF               # rows whose shingles are sorted at once
 PAIRS = 4_000_000              # pairs packed at once
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct token hashes of all rows, offsets of each row)."""
+    """(sorted distinct token hashes of all rows, 48 bits each, offsets of each row)."""
+    rows = len(off) - 1
+    if rows > STRETCH:                       # a row's number and a token share 64 bits
+        got = [shingles(data[off[i]:off[min(i + STRETCH, rows)]], off[i:i + STRETCH + 1] - off[i], k)
+               for i in range(0, rows, STRETCH)]
+        size = np.concatenate([np.diff(at) for _, at in got])
+        return np.concatenate([t for t, _ in got]), np.concatenate([[0], np.cumsum(size)])
     first, _, _, h = scan_words(data, off, SPACED)
     n = np.diff(first)
-    rows = len(n)
     many = np.where(n >= k, n - k + 1, 0)
     token, owner = np.empty(0, np.uint64), np.empty(0, np.int64)
     if many.any():
@@ -57,12 +64,10 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray,
     if len(short):
         own = np.array([window_hash(h[first[i]:first[i + 1]], int(n[i]))[0] for i in short], np.uint64)
         token, owner = np.concatenate([token, own]), np.concatenate([owner, short])
-    bits = np.uint64(max(int(rows).bit_length(), 1))
-    key = (owner.astype(np.uint64) << (np.uint64(64) - bits)) | (token >> bits)
-    key = np.sort(key)
+    key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (token >> np.uint64(16)))
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    at = np.searchsorted(key >> (np.uint64(64) - bits), np.arange(rows + 1, dtype=np.uint64))
-    return (key << bits) >> np.uint64(16), at
+    at = np.searchsorted(key >> np.uint64(48), np.arange(rows + 1, dtype=np.uint64))
+    return key & np.uint64((1 << 48) - 1), at
 
 
 def _heads(src: DataFrame, k: int, percent: int, hot: int, parts: int) -> DataFrame:
@@ -151,7 +156,7 @@ def _heads(src: DataFrame, k: int, percent: int, hot: int, parts: int) -> DataFr
                 for i, sign in enumerate(zip(n.tolist(), s1.tolist(), s2.tolist())):
                     if not sign[0] or sign in seen:
                         continue
-                    if len(seen) < 1 << 20:
+                    if len(seen) < 1 << 18:
                         seen.add(sign)
                     r = int(row[i])
                     if base is not None and (size > PAIRS or not 0 <= r - base < MARK):
@@ -322,9 +327,9 @@ def _pairs(members: DataFrame, percent: int, final: bool) -> DataFrame:
                     if len(held) > 1:
                         yield from solve()
                     held, last = [], (g, salt)
-                    if len(parent) > 1 << 20:                   # only saves work: pairs are made distinct later
+                    if len(parent) > 1 << 18:                   # only saves work: pairs are made distinct later
                         parent.clear()
-                    if len(seen) > 1 << 20:
+                    if len(seen) > 1 << 18:
                         seen.clear()
                 held.append(rest)
         if len(held) > 1:
@@ -351,7 +356,9 @@ def _sets(text: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(ROW), values], names=[ROW, "tokens"])
 
-    return text.join(rows, ROW, "left_semi").select(ROW, "text").mapInArrow(run, f"{ROW} long, tokens array<long>")
+    # by shuffle at every size: the rows grow with the table
+    return text.join(rows.hint("merge"), ROW, "left_semi").select(ROW, "text").mapInArrow(
+        run, f"{ROW} long, tokens array<long>")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
@@ -372,10 +379,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = (heads.join(classes.select(F.col("rep").alias(ROW)), ROW, "left_semi")
               .select(F.explode("groups").alias("g"), ROW, "n", "point"))
     sizes = spread.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    members = scratch.save(spread.join(sizes, "g").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+    sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("m") / block).cast("int")), "sizes")
+    members = scratch.save(join_counted(spread, sizes, ["g"], "m", F.xxhash64(ROW))
                            .withColumn("salt", F.pmod(F.xxhash64(ROW), F.col("parts")).cast("int")), "members")
+    scratch.drop("heads", "sizes")
     one = members.select("g", "salt", ROW, "n", "point", F.lit(0).cast("long").alias("c"), F.lit(0).alias("side"))
     pairs = scratch.save(_pairs(one, percent, False), "pairs")
+    # for both rounds at once: a second pass over the texts would cost more than the sets of rows without a pair
     sets = scratch.save(_sets(text, members.select(ROW).distinct(), k), "sets")
     links = scratch.save(_linked(pairs, sets, percent), "links")
     now = components(links, scratch, "one")
@@ -391,11 +401,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = scratch.save(_linked(pairs, sets, percent), "links2")
     if more.limit(1).count():
         now = components(links.unionByName(more), scratch, "two")
-    scratch.drop("sets", "members", "pairs", "pairs2", "heads")
-    label = own.join(now.withColumnRenamed("v", "rep"), "rep", "left").select(
-        ROW, "id", "n", F.coalesce("c", "rep").alias("label"))
-    name = label.groupBy("label").agg(F.min("id").alias("component_id"),
-                                      F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("_first"))
-    return label.join(name, "label").select(
+    scratch.drop("sets", "members", "pairs", "pairs2")
+    # names of components by classes of equal sets, then back to the rows
+    named = own.groupBy("rep").agg(F.count("*").alias("copies"), F.min("id").alias("id"),
+                                   F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("_first"))
+    named = scratch.save(named.join(now.withColumnRenamed("v", "rep"), "rep", "left")
+                         .withColumn("label", F.coalesce("c", "rep")).drop("c"), "named")
+    whole = named.groupBy("label").agg(F.count("*").alias("m"), F.min("id").alias("component_id"),
+                                       F.min("_first").alias("_first"))
+    named = join_counted(named.select("rep", "copies", "label"), scratch.save(whole, "components"), ["label"], "m",
+                         F.xxhash64("rep"))
+    named = scratch.save(named.select("rep", "copies", "component_id", "_first"), "names")
+    return join_counted(own, named, ["rep"], "copies", F.xxhash64(ROW)).select(
         ROW, F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
         F.col(f"_first.{ROW}").alias("first"))
