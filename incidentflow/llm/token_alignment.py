@@ -9,7 +9,7 @@ tokens whose byte ranges overlap are linked; a pair of ids counts as many links
 Neither tokenizer joins a space with what stands before it, so a text is cut into chunks (a space and what follows)
 that are encoded independently: each distinct chunk of a slice once, many in one call. That is
 checked against the vocabularies (no piece of B holds its space mark after another character, A splits by the
-byte-level pattern); with other files a text is one chunk.
+byte-level pattern); with other files a text is one chunk, encoded by itself.
 
 Pass one writes, for each slice of texts, its distinct pairs with their links, the pairs of its chunks, and the documents as
 chunk numbers. The pairs are added up by Spark, each B id's highest count found, and sent back to the
@@ -38,7 +38,8 @@ from .common import Scratch, id_text, ragged, slices, text_buffer
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE = 16 << 20               # text bytes whose chunks are encoded together
 CALL = 1 << 16                 # bytes of chunks joined in one call of the libraries
-MARK = "▁"                # sentencepiece's space
+LEAD = " a"                    # stands before the chunks of a call
+MARK = "\u2581"                # sentencepiece's space
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,18 +100,24 @@ class Aligner:
 
     def _b(self, text: str):
         pieces = self.b.encode(text[1:], return_type="proto").pieces
-        ids, end = np.array([p.id for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64) + 1
+        ids = np.fromiter((p.id for p in pieces), np.int64, len(pieces))
+        end = np.fromiter((p.end for p in pieces), np.int64, len(pieces)) + 1
         # bytes of one character have its span only at their last
         cut = np.append(~(self.fallback[ids[:-1]] & self.fallback[ids[1:]]), True) if len(ids) else np.empty(0, bool)
         return ids, self._refined(end, cut, self.b_size[ids])
 
     def encode(self, text: str, raw: bytes):
         """(A's ids, their byte ends, B's, theirs) of a text with its space; None where the bytes differ."""
-        a, a_end = self._a(text, raw)
-        b, b_end = self._b(text)
-        for ids, end, table in ((a, a_end, self.a_bytes), (b, b_end, self.b_bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != raw or not np.array_equal(
-                    end, np.cumsum([len(table[i]) for i in ids.tolist()])):
+        lead = LEAD if self.chunked else ""                    # so that B puts its space before the lead
+        a, a_end = self._a(lead + text, lead.encode() + raw)
+        b, b_end = self._b(lead + text)
+        if lead:
+            n = len(lead)
+            if not (a_end == n).any() or not (b_end == n).any():
+                return None
+            a, a_end, b, b_end = a[a_end > n], a_end[a_end > n] - n, b[b_end > n], b_end[b_end > n] - n
+        for ids, end, table, sizes in ((a, a_end, self.a_bytes, self.a_size), (b, b_end, self.b_bytes, self.b_size)):
+            if b"".join(map(table.__getitem__, ids.tolist())) != raw or not np.array_equal(end, np.cumsum(sizes[ids])):
                 return None
         return a, a_end, b, b_end
 
@@ -119,8 +126,10 @@ class Aligner:
         raw = [c.encode() for c in chunks]
         size = np.array([len(r) for r in raw], np.int64)
         call = np.cumsum(size) // CALL
+        # nothing follows a chunk that ends with white space (the end of a text) in a call
+        ends = np.array([not self.chunked or c[-1].isspace() or c[-1] == MARK for c in chunks], bool)
         counts, texts, pairs = [], [], []
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(call)) + 1, [len(chunks)]]).tolist()
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(call) > 0) | ends[:-1]) + 1, [len(chunks)]]).tolist()
         for lo, hi in zip(edges, edges[1:]):
             todo = [(lo, hi)]
             while todo:
@@ -155,14 +164,17 @@ class Aligner:
         counts = np.stack([np.bincount(own_a, minlength=n), np.bincount(own_b, minlength=n),
                            np.bincount(np.searchsorted(end, both), minlength=n),
                            np.bincount(own_a, links, minlength=n).astype(np.int64)], axis=1)
-        group = np.concatenate([np.searchsorted(both, a_end), np.searchsorted(both, b_end)])
-        side = np.repeat([0, 1], [len(a), len(b)])
-        order = np.lexsort((side, group))                      # stable: tokens stay in their order
-        last = np.append(np.diff(2 * group[order] + side[order]) != 0, True)
-        word = np.concatenate([2 * a, 2 * b + self.b_at])[order] + last
+        # tokens by group, A's before B's: a token's place is its number and those of the other side before it
+        before_a = np.append(0, np.searchsorted(a_end, both, side="right"))
+        before_b = np.append(0, np.searchsorted(b_end, both, side="right"))
+        word = np.empty(len(a) + len(b), np.int64)
+        word[np.arange(len(a)) + before_b[np.searchsorted(both, a_end)]] = 2 * a + np.isin(
+            a_end, both, assume_unique=True)
+        word[np.arange(len(b)) + before_a[np.searchsorted(both, b_end) + 1]] = 2 * b + self.b_at + np.isin(
+            b_end, both, assume_unique=True)
         flat = "".join(map(self.text.__getitem__, word.tolist())).encode()
-        at = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([own_a, own_b])[order], self.text_size[word],
-                                                        minlength=n).astype(np.int64))]).tolist()
+        ends = np.searchsorted(a_end, end, side="right") + np.searchsorted(b_end, end, side="right")
+        at = np.concatenate([[0], np.concatenate([[0], np.cumsum(self.text_size[word])])[ends]]).tolist()
         return counts, [flat[x:y] for x, y in zip(at, at[1:])], pair
 
 
@@ -210,23 +222,27 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
                 array = pa.Array.from_buffers(pa.large_string(), len(start),
                                               [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
                 coded = array.dictionary_encode()
-                code = np.asarray(coded.indices, np.int64)
+                code = np.array(coded.indices, np.int32)
                 # the first chunk of a text has no space of its own: it gets one, so it is another string
                 head = np.zeros(len(code), bool)
                 head[first[:-1][np.diff(first) > 0]] = True
                 values = coded.dictionary.to_pylist()
+                del array, coded, edge
                 heads, inverse = np.unique(code[head], return_inverse=True)
                 plain, body = np.unique(code[~head], return_inverse=True)
                 number_of: dict[str, int] = {}
                 for v in (*(" " + values[i] for i in heads.tolist()), *(values[i] for i in plain.tolist())):
                     number_of.setdefault(v, len(number_of))
-                code[head] = np.array([number_of[" " + values[i]] for i in heads.tolist()], np.int64)[inverse]
-                code[~head] = np.array([number_of[values[i]] for i in plain.tolist()], np.int64)[body]
-                counts, texts, pair = aligner.align(list(number_of))
+                code[head] = np.array([number_of[" " + values[i]] for i in heads.tolist()], np.int32)[inverse]
+                code[~head] = np.array([number_of[values[i]] for i in plain.tolist()], np.int32)[body]
+                values = list(number_of)
+                del number_of, inverse, body, head
+                counts, texts, pair = aligner.align(values)
+                del values
                 # documents with a chunk that does not fit have no tokens
                 bad = np.concatenate([[0], np.cumsum(counts[code, 0] < 0)])
                 good = bad[first[1:]] == bad[first[:-1]]
-                used = np.bincount(code[np.repeat(good, np.diff(first))], minlength=len(counts))
+                used = np.bincount(code[np.repeat(good, np.diff(first))], minlength=len(counts)).astype(np.int64)
                 distinct, index = np.unique(pair, return_inverse=True)
                 links = np.bincount(index, np.repeat(used, counts[:, 3]), minlength=len(distinct)).astype(np.int64)
                 live = np.flatnonzero(links)
@@ -236,8 +252,10 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
                 yield rows(m, id_type, slice=np.full(m, number), kind=np.ones(m, np.int32), at=live.astype(np.int32),
                            a=(distinct[live] >> 32).astype(np.int32), b=(distinct[live] & 0xFFFFFFFF).astype(np.int32),
                            n=links[live])
-                total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[code], axis=0)])
-                total = np.where(good[:, None], total[first[1:]] - total[first[:-1]], 0)
+                total = []
+                for one in counts.T:
+                    run_total = np.concatenate([[0], np.cumsum(one[code])])
+                    total.append(np.where(good, run_total[first[1:]] - run_total[first[:-1]], 0))
                 digests, codes = [], []
                 for lo, hi, ok in zip(first[:-1].tolist(), first[1:].tolist(), good.tolist()):
                     own = code[lo:hi] if ok else code[:0]
@@ -245,8 +263,8 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
                     digests.append(hashlib.sha256(text).hexdigest() if text else "")
                     codes.append(own.astype("<i4").tobytes())
                 m = batch.num_rows
-                doc = rows(m, id_type, slice=np.full(m, number), kind=np.full(m, 2, np.int32), n_a=total[:, 0], n_b=total[:, 1],
-                           n_groups=total[:, 2], n_links=total[:, 3], groups=digests, body=codes)
+                doc = rows(m, id_type, slice=np.full(m, number), kind=np.full(m, 2, np.int32), n_a=total[0], n_b=total[1],
+                           n_groups=total[2], n_links=total[3], groups=digests, body=codes)
                 yield doc.set_column(names.index("id"), "id", batch.column("id"))
 
     return src.mapInArrow(run, schema)
