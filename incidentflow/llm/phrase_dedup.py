@@ -35,9 +35,10 @@ from .common import ROW, SPACED, Scratch, mix, powers, ragged, scan_words, slice
 from .skew import join_counted
 
 WIDTH, GRAM = 13, 5
-HOT = 4096                     # kinds of one anchor compared in one task
+HOT = 512                      # kinds of one anchor compared in one task
 BLOCK_ROWS = 256               # documents of a block (a power of two)
 CHUNK = 4 << 20                # bytes of kinds compared at once (whole anchors)
+ALPHABET = 512                 # letters of a digit at most
 SHARD = 1 << 20                # letters of the passages of one automaton
 RESULT = "struct<n_words: bigint, spans: array<struct<lo: bigint, hi: bigint>>, kept: string>"
 SPACED_AS_IS = (SPACED[0], np.arange(256, dtype=np.uint8))      # the same words, not lower-cased
@@ -94,14 +95,6 @@ def _run_rows(text: DataFrame, width: int, gram: int) -> DataFrame:
     return text.mapInArrow(run, f"h long, c long, n int, {ROW} long, id {kind}, start int")
 
 
-def _words(data, start, end):
-    """The words of a scanned buffer as an Arrow array."""
-    size = end - start
-    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    flat = data[np.repeat(start - off[:-1], size) + np.arange(off[-1])]
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(flat)])
-
-
 def _joined(data, start, end, lo, hi) -> list[bytes]:
     """Words lo..hi-1 joined by one space, for every pair."""
     own = ragged(lo, hi - lo)
@@ -139,12 +132,27 @@ def _cut(text: DataFrame, picked: DataFrame, width: int) -> DataFrame:
 
 
 def _scan(texts: list[bytes]):
-    """(first word of each text, code of every word, words, their places) of texts of words."""
-    size = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    """(first word of each text, code of every word, bytes, places of the words) of texts of words; a new line stands
+    after each text, so there is a byte of white space after each word."""
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     first, start, end, _ = scan_words(data, np.concatenate([[0], np.cumsum(size)]), SPACED_AS_IS, hashes=False)
-    code = np.asarray(_words(data, start, end).dictionary_encode().indices, np.int64)
-    return first, code, data, start, end
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start),
+                                  [None, pa.py_buffer(off), pa.py_buffer(data[SPACED[0][data]])])
+    return first, np.asarray(words.dictionary_encode().indices, np.int64), data, start, end
+
+
+def _kept_text(data, first, start, end, stay) -> list[bytes]:
+    """Per text of a scan: the words that stay, joined by one space."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[stay]] += 1
+    edge[end[stay] + 1] -= 1                                   # with the byte of white space after a word
+    out = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    at = np.concatenate([[0], np.cumsum(end[stay] - start[stay] + 1)])
+    out[at[1:] - 1] = 0x20
+    raw, row = out.tobytes(), at[np.concatenate([[0], np.cumsum(stay)])[first]].tolist()
+    return [raw[a:max(a, z - 1)] for a, z in zip(row, row[1:])]
 
 
 def _ranks(ids: list) -> np.ndarray:
@@ -236,10 +244,11 @@ def passages(text: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int =
     """(block, words, id): passages that a block of documents may hold, with the smallest id that has them."""
     block = F.shiftrightunsigned(F.col(ROW), BLOCK_ROWS.bit_length() - 1)
     anchors = _run_rows(text, width, gram).groupBy("h").agg(
-        F.count("*").alias("copies"), F.min(_order()).alias("a"), F.max(_order()).alias("b"))
-    anchors = scratch.save(anchors.filter("a <> b").select("h", "copies"), "anchors")
-    found = scratch.save(join_counted(_run_rows(text, width, gram), anchors, ["h"], "copies", F.xxhash64(ROW, "start")),
-                         "found")
+        F.count("*").alias("copies"), F.count("id").alias("known"), F.min("id").alias("a"), F.max("id").alias("b"))
+    anchors = anchors.filter("a <> b OR (known > 0 AND known < copies)")          # under several ids
+    anchors = scratch.save(anchors.select("h", "copies"), "anchors")
+    found = scratch.save(join_counted(_run_rows(text, width, gram), anchors, ["h"], "copies", F.xxhash64(ROW, "start"),
+                                       hashed=True), "found")
     scratch.drop("anchors")
     held = found.groupBy(block.alias("block"), "h", "c", "n").agg(
         F.count("*").alias("copies"), F.max(_order()).alias("top"),
@@ -272,18 +281,21 @@ def passages(text: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int =
                           key, "copies", F.xxhash64("block")).filter(F.col("top") > _order("own"))
     other = join_counted(held.select("block", *key, "one.id"), listed, key, "copies", F.xxhash64("block"))
     other = other.filter(F.col("id").eqNullSafe(F.col("own"))).select("block", F.explode("p").alias("p"))
-    return copies.select("block", "words", F.col("own").alias("id")).unionByName(other.select("block", "p.words", "p.id"))
+    found = scratch.save(copies.select("block", "words", F.col("own").alias("id")).unionByName(
+        other.select("block", "p.words", "p.id")), "passages")
+    scratch.drop("held", "cut", "listed")
+    return found
 
 
 def _codes(code: np.ndarray) -> tuple[str, int]:
     """All words as letters, a fixed number for each; every digit has letters of its own."""
     most = int(code.max(initial=0)) + 1
-    digits = next(d for d in range(1, 9) if (256 // d) ** d >= most)
-    base = 256 // digits
-    out = np.empty((len(code), digits), np.uint8)
+    digits = next(d for d in range(1, 9) if ALPHABET ** d >= most)
+    base = max(next(n for n in range(1, ALPHABET + 1) if n ** digits >= most), 2)
+    out = np.empty((len(code), digits), "<u4")
     for i in range(digits):
         out[:, i] = code // base ** i % base + i * base
-    return out.tobytes().decode("latin-1"), digits
+    return out.tobytes().decode("utf-32-le"), digits
 
 
 def _search(words: list[bytes], owners: list, texts: list[bytes], ids: list, width: int, shard: int):
@@ -324,9 +336,7 @@ def _search(words: list[bytes], owners: list, texts: list[bytes], ids: list, wid
     if todo:
         run()
     gone = np.cumsum(change[:-1]) > 0
-    stay = np.flatnonzero(~gone)
-    lo, hi = np.searchsorted(stay, first[p:-1]), np.searchsorted(stay, first[p + 1:])
-    kept = _joined(data, start[stay], end[stay], lo, hi)
+    kept = _kept_text(data, first[p:], start, end, ~gone)
     out = []
     for i, text in zip(range(p, p + len(texts)), kept):
         own = gone[first[i]:first[i + 1]]
@@ -347,12 +357,13 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = keyed.select(ROW, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     parts = passages(text, scratch, width, gram, hot, chunk)
     block = F.shiftrightunsigned(F.col(ROW), BLOCK_ROWS.bit_length() - 1).alias("block")
+    rest = [c for c in docs.columns if c != text_col]          # the text travels once
     whole = keyed.select(block, F.lit(True).alias("document"), F.col(f"`{id_col}`").alias("id"),
                          F.col(f"`{text_col}`").cast("string").cast("binary").alias("words"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+                         F.struct(F.lit(0).alias(into), *[F.col(f"`{c}`") for c in rest]).alias("row"))
     none = F.lit(None).cast(whole.schema["row"].dataType)
     both = whole.unionByName(parts.select("block", F.lit(False).alias("document"), "id", "words", none.alias("row")))
-    schema = T.StructType([T.StructField("row", whole.schema["row"].dataType),
+    schema = T.StructType([T.StructField("row", whole.schema["row"].dataType), T.StructField("text", T.BinaryType()),
                            T.StructField("result", T._parse_datatype_string(RESULT))])
 
     def run(batches):
@@ -363,10 +374,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def flush():
             if not rows:
                 return
-            texts, ids = [t or b"" for _, t, _ in held], [i for i, _, _ in held]
+            texts, ids = [t or b"" for _, t in held], [i for i, _ in held]
             out = _search([w for w, _ in known], [i for _, i in known], texts, ids, width, shard)
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(rows), pa.array(out, kind)], names=["row", "result"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows), pa.array([t for _, t in held], pa.binary()),
+                                              pa.array(out, kind)], names=["row", "text", "result"])
 
         for b in batches:
             blocks = np.asarray(b.column("block"))
@@ -383,9 +394,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     known[(w, i)] = True
                 part = part.filter(doc)
                 if part.num_rows:
-                    held += zip(part.column("id").to_pylist(), part.column("words").to_pylist(), [None] * part.num_rows)
+                    held += zip(part.column("id").to_pylist(), part.column("words").to_pylist())
                     rows.append(part.column("row"))
         yield from flush()
 
     out = both.repartition("block").sortWithinPartitions("block", "document").mapInArrow(run, schema)
-    return out.select("row.*", F.col("result").alias(into))
+    text = F.col("text").cast("string").cast(docs.schema[text_col].dataType).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns], F.col("result").alias(into))
