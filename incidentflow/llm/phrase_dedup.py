@@ -268,7 +268,7 @@ def passages(text: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int =
     least = rows.groupBy("words").agg(F.count("*").alias("uses"), F.min(_order("own")).alias("a"),
                                       F.max(_order("own")).alias("b"))
     least = scratch.save(least.filter("a < b").select("words", "uses", "a"), "least")
-    many = join_counted(rows, least, ["words"], "uses", F.xxhash64("h", "c")).filter(_order("own") > F.col("a"))
+    many = join_counted(rows, least, ["words"], "uses", F.xxhash64("h", "c"), hashed=True).filter(_order("own") > F.col("a"))
     many = many.select("h", "c", "n", "copies", "own", "words", F.col("a.id").alias("id"))
     # at most one passage for each window of a run
     listed = few.unionByName(many).groupBy("h", "c", "n", "copies", "own").agg(
@@ -278,8 +278,8 @@ def passages(text: DataFrame, scratch: Scratch, width: int = WIDTH, gram: int =
     key = ["h", "c", "n"]
     # the kinds of a block whose smallest id is not the block's largest with them, and the confirmed passages
     copies = join_counted(held.select("block", *key, "top"), cut.filter("shared").select(*key, "copies", "words", "own"),
-                          key, "copies", F.xxhash64("block")).filter(F.col("top") > _order("own"))
-    other = join_counted(held.select("block", *key, "one.id"), listed, key, "copies", F.xxhash64("block"))
+                          key, "copies", F.xxhash64("block"), hashed=True).filter(F.col("top") > _order("own"))
+    other = join_counted(held.select("block", *key, "one.id"), listed, key, "copies", F.xxhash64("block"), hashed=True)
     other = other.filter(F.col("id").eqNullSafe(F.col("own"))).select("block", F.explode("p").alias("p"))
     found = scratch.save(copies.select("block", "words", F.col("own").alias("id")).unionByName(
         other.select("block", "p.words", "p.id")), "passages")
