@@ -19,14 +19,16 @@ Cases: null, empty or text-free html: empty text. Unclosed and stray tags, comme
 browser would (an unclosed script or comment runs to the end). Pages of any length, repeated
 rows and null ids are treated alike; an empty table gives an empty result; other columns are not
 read. Text of elements that show none (svg, button, video and so on) is left out up to where a browser ends
-them. Ties of the cut go to boilerplate.
+them. Ties of the cut go to boilerplate. Tags and comments are read in one forward scan, so the time of a
+page grows with its length whatever its markup: a quote opens a value only after ``=``, a tag that the end of
+the page cuts off is dropped, ``<!-->`` and ``--!>`` end a comment, ``</ p>`` is one.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-SAMPLE_PAGES = 400
+SAMPLE_PAGES = 400                     # pages of the training sample, each of at most SAMPLE_CHARS characters
+SAMPLE_CHARS = 1 << 16
 EVIDENCE, CLASSIFIER = 3.0, 2.5        # full evidence of an element, bound of the classifier's part
 HALF, MOST, LEAST = 1.5, 4.0, 1.0      # half evidence; bound of several words; left below unlisted names in content
 NEXT, SIBLING = 0.6, 0.6               # smoothness: neighbours in page order, same parent
+TINY = 1e-12                           # capacities up to this are none
 
 # --- fixed values: element and word lists ---
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption "
@@ -47,7 +51,7 @@ BLOCKS = set("address article aside blockquote body br caption center dd details
              "table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # text up to the end tag of the same name, or to the end of the page
-RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript iframe textarea title".split()}
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style noscript iframe textarea title".split()}
 # ordinary elements whose text is not the page's; they end where a browser ends them
 FOREIGN = set("svg math".split())
 HIDDEN = FOREIGN | set("template object select button canvas audio video".split())
@@ -69,12 +73,12 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
           "td": {"td", "th"}, "th": {"td", "th"}, "button": {"button"}}
 DEFAULT = np.array([-1.5, 0.9, -4.0, 0.6, 0.8, 0.0, 0.3])
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
-_BARE_VALUE = re.compile(r"=\s*[^\s\"']\S*\Z")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?]|/(?!\Z))")
+_COMMENT_END = re.compile(r"--!?>")
+# name and value; a value without its closing quote runs to the end of the page
+_ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)"
+                        r"|(?=>)|\Z))?+")
+_ATTRIBUTES = re.compile(rf"(?:[\s/]++|{_ATTRIBUTE.pattern})*+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -88,7 +92,8 @@ class Block:
 
 def _names(attributes: str, in_content: bool) -> float | None:
     """Evidence of the class, id and role names; None without names."""
-    tokens = {t for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()}
+    tokens = {t for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")
+              for t in (m[2] or m[3] or m[4] or "").split()}
     if not tokens:
         return None
     total = 0.0
@@ -127,13 +132,51 @@ def _evidence(tag: str, attributes: str, outer: float) -> float:
 
 
 def _self_closed(attributes: str) -> bool:
-    return attributes.endswith("/") and not _BARE_VALUE.search(_QUOTED.sub('""', attributes))
+    """Ends with a slash that is not part of a value."""
+    if not attributes.endswith("/"):
+        return False
+    last = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        last = m.end()
+    return last < len(attributes)
+
+
+def tags(page: str):
+    """(first place, place after, tag or None, whether it ends an element, attributes) of tags and comments, in order.
+
+    The caller may send the place at which to go on.
+    """
+    at = 0
+    while m := _OPEN.search(page, at):
+        start, tag, attributes = m.start(), m[2], ""
+        if tag is not None:
+            end = _ATTRIBUTES.match(page, m.end()).end()
+            if end == len(page):                 # the end of the page cuts it off
+                yield start, end, None, False, ""
+                return
+            attributes, at = page[m.end():end], end + 1
+        elif page.startswith(("<!-->", "<!--->"), start):
+            at = page.index(">", start) + 1
+        elif page.startswith("<!--", start):
+            end = _COMMENT_END.search(page, start + 4)
+            at = end.end() if end else len(page)
+        else:
+            at = page.find(">", m.end()) + 1 or len(page)
+        at = (yield start, at, tag and tag.lower(), bool(m[1]), attributes) or at
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Place after the end tag of a raw element."""
+    end = RAW[tag].search(page, at)
+    return min(_ATTRIBUTES.match(page, end.end()).end() + 1, len(page)) if end else len(page)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in page order."""
     out: list[Block] = []
-    stack = [("", 0, 0, False, False)]           # tag, evidence, number of the element, hidden, foreign
+    root = ("", 0, 0)
+    stack = [("", 0, 0, False, False, root)]     # tag, evidence, number of the element, hidden, foreign, shown block
+    opened: Counter = Counter()                  # tags on the stack
     parts: list[str] = []
     links, in_link, number, at = 0, 0, 0, 0
 
@@ -142,7 +185,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, evidence, me, *_ = next((s for s in reversed(stack) if s[0] in BLOCKS and not s[3]), stack[0])
+                tag, evidence, me = stack[-1][5]
                 words = text.count(" ") + 1
                 out.append(Block(text, evidence, me, words, min(links, words), tag[:1] == "h" and tag[1:].isdigit()))
             parts.clear()
@@ -156,16 +199,24 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(s.split())
 
-    while m := _TOKEN.search(page, at):
-        read(m.start())
-        at = m.end()
-        tag = m[2]
+    def shut(keep):
+        opened.subtract(s[0] for s in stack[keep:])
+        del stack[keep:]
+
+    source, skip = tags(page), None
+    while True:
+        try:
+            start, end, tag, ends, attributes = source.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        read(start)
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         keep = len(stack)                        # elements that stay open
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+        if ends:
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     keep = i
                     break
@@ -173,7 +224,7 @@ def blocks(page: str) -> list[Block]:
                     break
             if tag in BLOCKS and not stack[keep - 1][3]:
                 end_block()
-            del stack[keep:]
+            shut(keep)
             if tag == "a":
                 in_link = 0
             continue
@@ -182,11 +233,10 @@ def blocks(page: str) -> list[Block]:
                 keep -= 1
         foreign = stack[keep - 1][4]
         if tag in RAW and not foreign:
-            end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
+            at = skip = _raw_end(page, tag, at)
             continue
         close = CLOSES.get(tag)
-        if close and not foreign:
+        if close and not foreign and any(opened[c] for c in close):
             for i in range(keep - 1, 0, -1):
                 if stack[i][0] in close:
                     keep = i
@@ -196,14 +246,17 @@ def blocks(page: str) -> list[Block]:
         hidden = stack[keep - 1][3]
         if tag in BLOCKS and not hidden:
             end_block()
-        del stack[keep:]
+        shut(keep)
         foreign = foreign or tag in FOREIGN
-        if foreign and _self_closed(m[3]) or tag in VOID and not stack[-1][4]:
+        if foreign and _self_closed(attributes) or tag in VOID and not stack[-1][4]:
             continue
         number += 1
         # a paragraph's parent is what holds it: siblings share it
-        stack.append((tag, _evidence(tag, m[3], stack[-1][1]), stack[-1][2] if tag in CLOSES else number,
-                      hidden or tag in HIDDEN, foreign and tag not in HTML_AGAIN))
+        evidence, me = _evidence(tag, attributes, stack[-1][1]), stack[-1][2] if tag in CLOSES else number
+        shown = tag in BLOCKS and not (hidden or tag in HIDDEN)
+        stack.append((tag, evidence, me, hidden or tag in HIDDEN, foreign and tag not in HTML_AGAIN,
+                      (tag, evidence, me) if shown else stack[-1][5]))
+        opened[tag] += 1
         if tag == "a" and not hidden:
             in_link = 1
     read(len(page))
@@ -250,7 +303,8 @@ def minimum_cut(unary: list[float], pairs: list[tuple[int, int, float]]) -> list
     """True for the nodes on the content side of the minimum cut.
 
     A node whose terminal capacity exceeds all its open edges keeps its side (no cut does better);
-    its edges then count for its neighbours. What stays open is solved by augmenting paths.
+    its edges then count for its neighbours. What stays open is solved by blocking flows over layers of shortest
+    paths; a node's terminal capacity is an excess (source) or a need (sink) of its own.
     """
     n = len(unary)
     u = list(unary)
@@ -273,42 +327,60 @@ def minimum_cut(unary: list[float], pairs: list[tuple[int, int, float]]) -> list
     left = [i for i in range(n) if side[i] is None]
     if not left:
         return [bool(x) for x in side]
-    s, t = n, n + 1
-    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in left} | {s: {}, t: {}}
+    place = {i: k for k, i in enumerate(left)}
+    arcs: list[list[int]] = [[] for _ in left]
+    to, room = [], []                            # arc e and its reverse e ^ 1
     for i in left:
-        if u[i] > 0:
-            room[s][i] = u[i]
-            room[i].setdefault(s, 0.0)
-        elif u[i] < 0:
-            room[i][t] = -u[i]
-            room[t].setdefault(i, 0.0)
-
-    def path():
-        """Shortest path with room from the source; else the nodes reached."""
-        came, queue = {s: s}, deque([s])
-        while queue:
-            a = queue.popleft()
-            for b, c in room[a].items():
-                if c > 1e-12 and b not in came:
-                    came[b] = a
-                    if b == t:
-                        return came, True
-                    queue.append(b)
-        return came, False
-
-    came, found = path()
-    while found:
-        walk, b = [], t
-        while b != s:
-            walk.append((came[b], b))
-            b = came[b]
-        c = min(room[a][b] for a, b in walk)
-        for a, b in walk:
-            room[a][b] -= c
-            room[b][a] = room[b].get(a, 0.0) + c
-        came, found = path()
-    for i in left:
-        side[i] = i in came
+        for j, w in near[i].items():
+            if i < j:
+                arcs[place[i]].append(len(to))
+                arcs[place[j]].append(len(to) + 1)
+                to += (place[j], place[i])
+                room += (w, w)
+    excess = [u[i] for i in left]
+    while True:
+        sources = [v for v, x in enumerate(excess) if x > TINY]
+        level, layer, found = [-1] * len(left), sources, False
+        for v in sources:
+            level[v] = 0
+        while layer and not found:
+            after = []
+            for v in layer:
+                for e in arcs[v]:
+                    k = to[e]
+                    if level[k] < 0 and room[e] > TINY:
+                        level[k] = level[v] + 1
+                        found = found or excess[k] < -TINY
+                        after.append(k)
+            layer = after
+        if not found:
+            break
+        turn = [0] * len(left)                   # the next arc of a node to try
+        for v in sources:
+            walk, x = [], v
+            while excess[v] > TINY:
+                if excess[x] < -TINY:
+                    c = min(excess[v], -excess[x], *(room[e] for e in walk))
+                    for e in walk:
+                        room[e] -= c
+                        room[e ^ 1] += c
+                    excess[v] -= c
+                    excess[x] += c
+                    walk, x = [], v
+                elif turn[x] < len(arcs[x]):
+                    e = arcs[x][turn[x]]
+                    if room[e] > TINY and level[to[e]] == level[x] + 1:
+                        walk.append(e)
+                        x = to[e]
+                    else:
+                        turn[x] += 1
+                elif walk:                       # a dead end
+                    x = to[walk.pop() ^ 1]
+                    turn[x] += 1
+                else:
+                    break
+    for i, reached in zip(left, level):
+        side[i] = reached >= 0
     return [bool(x) for x in side]
 
 
@@ -320,27 +392,22 @@ def label(own: list[Block], weights: np.ndarray) -> list[bool]:
     return minimum_cut([float(v) + b.evidence for v, b in zip(score, own)], edges(own))
 
 
-def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights of the text classifier, from at most ``sample_pages`` pages."""
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, "html"):
-                x, y = [], []
-                for p in b.column("html").to_pylist():
-                    own = blocks(p or "")
-                    for row, k in zip(text_features(own), own):
-                        if abs(k.evidence) >= EVIDENCE:
-                            x.append(row.tolist())
-                            y.append(k.evidence > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())],
-                                                 names=["x", "y"])
-
-    src = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).limit(sample_pages)
-    rows = src.mapInArrow(run, "x array<double>, y boolean").collect()
-    y = np.array([r["y"] for r in rows], float)
+def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES,
+          sample_chars: int = SAMPLE_CHARS) -> np.ndarray:
+    """Weights of the text classifier, from at most ``sample_pages`` pages of at most ``sample_chars`` characters (the
+    first ones found: no other partition is read)."""
+    src = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).filter(F.length("html") <= sample_chars)
+    x, y = [], []
+    for r in src.limit(sample_pages).collect():
+        own = blocks(r["html"])
+        for row, k in zip(text_features(own), own):
+            if abs(k.evidence) >= EVIDENCE:
+                x.append(row)
+                y.append(k.evidence > 0)
+    y = np.array(y, float)
     if not len(y) or y.min() == y.max():
         return DEFAULT
-    return fit(np.array([r["x"] for r in rows]), y)
+    return fit(np.array(x), y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple = ("url",),

@@ -3,6 +3,7 @@
 import html as H
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -207,6 +208,48 @@ def test_minimum_cut_against_all_cuts():
         assert abs(cost(html_extract.minimum_cut(u, e)) - best) < 1e-9
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p don't>a</p><p>it's b</p>", ["a", "it's b"]),                # a quote opens a value only after =
+    ("<p title=it's>a</p><p class = 'x > y'>b</p>", ["a", "b"]),
+    ("<p>a</p><!--><p>b</p><!---><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><!-- x > --!><p>b</p><!-- y", ["a", "b"]),
+    ("<p>a</ p> b</p></><p>c</p>", ["a b", "c"]),
+    ("<p>a</p><p>b <a href='x", ["a", "b"]),                         # cut off by the end of the page
+    ("<p>a</p><p>b <a title='x>c</p>", ["a", "b"]),
+    ("<p>1 < 2 <3 </", ["1 < 2 <3 </"]),
+    ("<p>a</p><script>no</script x='>' ><p>b</p>", ["a", "b"]),
+    ("<svg a=b/><p>b</p>", ["b"]), ("<svg a=b/>no</svg>c", ["c"]), ("<svg a=b />c", ["c"]),
+    ("<p/>a<br/>b<p a=/>c", ["a", "b", "c"]),
+])
+def test_html_reads_tags_as_a_browser(page, texts):
+    assert [b.text for b in html_extract.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("unit, tail", [("<a ", ""), ("</script ", ""), ("<!-- ", ""), ("<script>", ""), ("<p x='", ""),
+                                        ("<b>", "</i>" * 50000), ("<b>", "x<br>" * 50000), ("<i a=b/ ", ">"), ("= a=", "")])
+def test_html_time_grows_with_the_page(unit, tail):
+    page = "<p>a</p>" + unit * (200000 // len(unit)) + tail
+    start = time.perf_counter()
+    assert html_extract.blocks(page)[0].text == "a"
+    assert time.perf_counter() - start < 10
+
+
+def test_minimum_cut_of_many_open_blocks():
+    r = random.Random(4)
+    n = 10000
+    u = [r.uniform(-1, 1) for _ in range(n)]
+    e = [(i - 1, i, 0.6) for i in range(1, n)]
+    start = time.perf_counter()
+    side = html_extract.minimum_cut(u, e)
+    assert time.perf_counter() - start < 10
+    # on a path the best cut follows from one pass over the nodes
+    keep, drop = max(-u[0], 0), max(u[0], 0)
+    for x in u[1:]:
+        keep, drop = min(keep, drop + 0.6) + max(-x, 0), min(drop, keep + 0.6) + max(x, 0)
+    cost = sum(-x if s and x < 0 else x if not s and x > 0 else 0 for s, x in zip(side, u))
+    assert abs(cost + 0.6 * sum(a != b for a, b in zip(side, side[1:])) - min(keep, drop)) < 1e-6
+
+
 # ---- 3 quality ----
 
 def test_quality_base(spark, messy, docs, nothing):
@@ -311,6 +354,21 @@ def test_shunting_yard(text, want):
     assert licenses.rpn(text) == want
 
 
+@pytest.mark.parametrize("text, named, required", [
+    ("MIT OR GPL-2.0", "mit gpl gpl-2.0", ""), ("MIT AND GPL-2.0", "mit gpl gpl-2.0", "mit gpl gpl-2.0"),
+    ("MIT OR (MIT AND Zlib)", "mit zlib", "mit"), ("GPL-2.0-only OR GPL-3.0-only", "gpl gpl-2.0-only gpl-3.0-only", "gpl"),
+    ("(MIT OR Zlib) AND X11", "mit zlib x11", "x11"), ("a OR b AND c", "a b c", ""), ("a AND b OR a AND c", "a b c", "a")])
+def test_expressions(text, named, required):
+    assert licenses.evaluate(text) == (set(named.split()), set(required.split()))
+
+
+def test_expression_with_exception():
+    own = {"gpl", "gpl-2.0", "gpl-2.0 with x"}
+    assert licenses.evaluate("GPL-2.0 WITH x") == (own, own)
+    assert licenses.evaluate("(a or b) with x") is None
+    assert licenses.evaluate(" or ".join(f"a{i}" for i in range(50000)))[1] == set()
+
+
 # ---- 7 decontamination ----
 
 ITEMS = [(1, "one two"), (2, messy_rows()[7][1][100:400]), (3, None), (4, ""), (None, "go go go"), (5, "x"), (5, "cc BY"),
