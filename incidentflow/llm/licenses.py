@@ -3,7 +3,8 @@
 An Aho-Corasick automaton over the lower-cased words (joined by one blank) finds notice phrases and
 identifier tags; the expression after a tag (``SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH
 Classpath-exception-2.0) AND BSD-3-Clause``) is parsed by a shunting-yard parser (WITH binds
-closest, then AND, then OR) and evaluated to labels.
+closest, then AND, then OR) and evaluated to two sets of labels: those that it names, and those that hold whichever
+side of an OR is taken (``required``: AND unites its sides, OR keeps what they share).
 
 Base labels come from four phrases; the method adds labels of further phrases and of expressions.
 ``score``: 1 for a valid expression, 0.9 for a phrase with a version or a licence's own wording,
@@ -76,28 +77,37 @@ def rpn(expression: str) -> list[str] | None:
     return out + ops[::-1]
 
 
-def evaluate(expression: str) -> set[str] | None:
-    """Labels of an expression: identifier and family of every licence named; None if not valid.
+def _united(one: set, other: set) -> set:
+    """Union, written into the larger set."""
+    small, large = sorted((one, other), key=len)
+    large |= small
+    return large
 
-    OR and AND unite the labels of their sides; WITH keeps those of the licence and adds
+
+def evaluate(expression: str) -> tuple[set[str], set[str]] | None:
+    """(labels named, labels required) of an expression: identifier and family of licences; None if not valid.
+
+    Both sides of AND are required, of OR what its sides share; WITH requires the licence and
     ``licence with exception``.
     """
     order = rpn(expression)
     if order is None:
         return None
-    stack: list[tuple[str, set[str]]] = []
+    stack: list[tuple[str, set[str], set[str]]] = []
     for t in order:
         if t == "with":
             exception, licence = stack.pop(), stack.pop()
             if not licence[0] or not exception[0]:
                 return None                           # WITH joins two plain identifiers
-            stack.append(("", licence[1] | {f"{licence[0]} with {exception[0]}"}))
+            own = licence[1] | {f"{licence[0]} with {exception[0]}"}
+            stack.append(("", own, set(own)))
         elif t in PRECEDENCE:
             right, left = stack.pop(), stack.pop()
-            stack.append(("", left[1] | right[1]))
+            stack.append(("", _united(left[1], right[1]), left[2] & right[2] if t == "or" else _united(left[2], right[2])))
         else:
-            stack.append((t, {t} | {f for p, f in FAMILIES if t == p or t.startswith(p + "-")}))
-    return stack[0][1]
+            own = {t} | {f for p, f in FAMILIES if t == p or t.startswith(p + "-")}
+            stack.append((t, own, set(own)))
+    return stack[0][1:]
 
 
 def _automaton():
@@ -121,11 +131,11 @@ def _strong(phrase_words: int, label: str) -> float:
 
 
 def scan_text(auto, words: bytes, raw: str) -> tuple:
-    """(places as (word, base label), labels of the method, score) of one text.
+    """(places as (word, base label), labels of the method, labels that expressions require, score) of one text.
 
     ``words``: its lower-cased words, each followed by one blank, one blank in front.
     """
-    base, extra, score = [], set(), 0.0
+    base, extra, required, score = [], set(), set(), 0.0
     text, tagged, seen, count = words.decode("utf-8"), False, 0, 0
     for end, (size, kinds) in auto.iter(text):
         at = end - size + 1                             # place of the blank before the first word
@@ -146,14 +156,17 @@ def scan_text(auto, words: bytes, raw: str) -> tuple:
     if tagged:
         for m in re.finditer(TAG_LINE, raw.lower()):
             got = evaluate(re.sub(r"[\s*/#>-]+$", "", m[1]))
-            extra |= got or set()
+            if got:
+                extra |= got[0]
+                required |= got[1]
             score = max(score, 1.0 if got else 0.5)
-    return base, extra, score
+    return base, extra, required, score
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score, places (array of word and label of the base phrases). No shuffle."""
+    required (labels that hold under every choice of the text's valid expressions), score, places (array of word and
+    label of the base phrases). No shuffle."""
     src = id_text(docs, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()
 
@@ -165,24 +178,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for whole in batches:
             for b in slices(whole):
                 data, off = text_buffer(b.column("text"))
-                data, cols = data.tobytes(), [[] for _ in range(8)]
+                data, cols = data.tobytes(), [[] for _ in range(9)]
                 for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
                     raw = data[lo:hi]
                     words = raw.translate(table).split()
-                    base, extra, score = scan_text(auto, b" " + b" ".join(words) + b" ", raw.decode())
+                    base, extra, required, score = scan_text(auto, b" " + b" ".join(words) + b" ", raw.decode())
                     own, at = {x for _, x in base}, [w for w, _ in base]
                     for c, v in zip(cols, (len(words), len(base), min(at, default=None), max(at, default=None),
-                                           ",".join(sorted(own)), ",".join(sorted(own | extra)), score,
+                                           ",".join(sorted(own)), ",".join(sorted(own | extra)),
+                                           ",".join(sorted(required)), score,
                                            [{"word": w, "label": x} for w, x in sorted(base)])):
                         c.append(v)
-                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(place)]
+                types = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.float64(), pa.list_(place)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), *(pa.array(c, t) for c, t in zip(cols, types))],
-                    names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                    names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "required", "score",
                            "places"])
 
     out = src.mapInArrow(run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, "
-                              "base_labels string, labels string, score double, "
+                              "base_labels string, labels string, required string, score double, "
                               "places array<struct<word: long, label: string>>")
     return out.withColumnRenamed("id", id_col)
 
