@@ -48,6 +48,27 @@ def test_severity_forest_learns_rule(spark):
     assert acc.first()["accuracy"] >= 0.95
 
 
+def test_fit_and_predict_use_all_cores(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    cols = [f"cast(id % {n + 2} as double) AS {c}" for n, c in enumerate(L.FEATURE_COLS)]
+    rows = spark.range(400).selectExpr("id", *cols, "1.0D AS weight", "'Low' AS congestion_severity",
+                                       "cast(id % 7 as double) AS duration_min").coalesce(1)
+    seen, fit = [], Pipeline.fit
+
+    def watch(self, df, params=None):
+        seen.append((df.rdd.getNumPartitions(), self.getStages()[-1].getCacheNodeIds(), sorted(r.id for r in df.collect())))
+        return fit(self, df)
+
+    monkeypatch.setattr(Pipeline, "fit", watch)
+    L.fit_severity(rows, num_trees=2, max_depth=2)
+    L.fit_duration(rows, num_trees=2, max_depth=2)
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [(cores, True, list(range(400)))] * 2
+    monkeypatch.setattr(L, "FIT_ROWS", 50)
+    assert L.spread(rows).rdd.getNumPartitions() == max(cores, 8)
+    assert L.spread(rows.limit(0)).count() == 0
+
+
 def test_stream_ingest_is_idempotent_and_stats_match(spark):
     base = tempfile.mkdtemp(prefix="stream-test-")
     ledger, ckpt = os.path.join(base, "ledger"), os.path.join(base, "ckpt")
