@@ -59,6 +59,8 @@ def test_fit_and_predict_use_all_cores(spark, monkeypatch):
         seen.append((df.rdd.getNumPartitions(), self.getStages()[-1].getCacheNodeIds(), sorted(r.id for r in df.collect())))
         return fit(self, df)
 
+    assert L.spread(rows).rdd.getNumPartitions() == 1              # few rows stay
+    monkeypatch.setattr(L, "FEW_ROWS", 100)
     monkeypatch.setattr(Pipeline, "fit", watch)
     L.fit_severity(rows, num_trees=2, max_depth=2)
     L.fit_duration(rows, num_trees=2, max_depth=2)
