@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,6 +91,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def kept(make, *files: str):
+    """``make(*files)``, kept for the later tasks of a Python worker (loading a tokenizer file takes long, and two
+    loaded at once take much memory). A changed file is loaded again; only the last object of a kind is kept.
+
+    Code travels by value, so a module of this package lives as long as a task; the objects lie in one of the worker's.
+    """
+    store = sys.modules.setdefault("_incidentflow_kept", types.ModuleType("_incidentflow_kept")).__dict__
+    kind, state = f"{make.__module__}.{make.__qualname__}", [(f, os.stat(f).st_mtime_ns, os.stat(f).st_size) for f in files]
+    if store.get(kind, (None,))[0] != state:
+        store.pop(kind, None)
+        store[kind] = state, make(*files)
+    return store[kind][1]
+
+
 def _word_tables(word) -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Scratch, id_text, ragged, slices, text_buffer
+from .common import Scratch, id_text, kept, ragged, slices, text_buffer
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE = 16 << 20               # text bytes whose chunks are encoded together
@@ -185,12 +185,15 @@ def chunk_cuts(data: np.ndarray, off: np.ndarray, chunked: bool) -> tuple[np.nda
     new = np.zeros(len(data), bool)
     new[off[:-1][size > 0]] = True
     if chunked and len(data) > 1:
-        low = data < 0x80
-        lead = np.where(data >= 0xC0, np.arange(len(data)), 0)
-        np.maximum.accumulate(lead, out=lead)                  # of the character that a byte belongs to
+        at = np.flatnonzero(data[1:] == 0x20)                  # bytes before a space
+        solid = (data[at] > 0x20) & (data[at] != 0x7F)
+        wide = np.flatnonzero(data[at] >= 0x80)
+        lead = at[wide]                                        # of the character that such a byte ends
+        for _ in range(3):
+            lead = lead - ((data[lead] & 0xC0) == 0x80)
         # lead bytes of U+0085, U+00A0, U+1680, U+2000 to U+205F, U+2581 and U+3000
-        solid = np.where(low, (data > 0x20) & (data != 0x7F), ~np.isin(data[lead], [0xC2, 0xE1, 0xE2, 0xE3]))
-        new[1:] |= (data[1:] == 0x20) & solid[:-1]
+        solid[wide] = ~np.isin(data[lead], [0xC2, 0xE1, 0xE2, 0xE3])
+        new[at[solid] + 1] = True
     start = np.flatnonzero(new)
     return np.searchsorted(start, off), start
 
@@ -205,7 +208,7 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        aligner = Aligner(a_file, b_file)
+        aligner = kept(Aligner, vocabulary_path(a_file), vocabulary_path(b_file))
 
         def rows(m, id_type, **cols):
             return pa.RecordBatch.from_arrays(

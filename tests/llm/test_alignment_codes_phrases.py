@@ -177,3 +177,43 @@ def test_queries_return_their_columns(spark):
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert Q.op12_vector_codes(spark, SF).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
     assert Q.op13_phrase_dedup(spark, SF).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def test_chunk_cuts_take_little_memory():
+    """Cuts at spaces after solid characters, in a few bytes of memory a byte of text."""
+    import tracemalloc
+    from incidentflow.llm.token_alignment import chunk_cuts
+    texts = ["a b", " x", "é b\u00a0 c\u3000 d 字 e", "", "😀 f \t g", "\x7f h", "\u2581 i"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    first, start = chunk_cuts(np.frombuffer(b"".join(raw), np.uint8), off, True)
+    want = []
+    for t, o in zip(texts, off.tolist()):
+        for i, c in enumerate(t):
+            p = t[i - 1:i].encode()
+            if i == 0 or c == " " and (0x20 < p[0] < 0x7F or p[0] >= 0x80 and p[0] not in (0xC2, 0xE1, 0xE2, 0xE3)):
+                want.append(o + len(t[:i].encode()))
+    assert start.tolist() == want
+    assert first.tolist() == [sum(w < o for w in want) for o in off.tolist()]
+    data = np.frombuffer(b"words of a text " * (1 << 16), np.uint8)
+    tracemalloc.start()
+    chunk_cuts(data, np.array([0, len(data)]), True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data)
+
+
+def test_tokenizers_are_kept_by_a_worker(tmp_path):
+    from incidentflow.llm.common import kept
+    made = []
+
+    def make(path):
+        made.append(path)
+        return object()
+
+    a = tmp_path / "a"
+    a.write_text("1")
+    one = kept(make, str(a))
+    assert kept(make, str(a)) is one and len(made) == 1
+    a.write_text("22")                                        # a changed file is loaded again
+    assert kept(make, str(a)) is not one and len(made) == 2
