@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bpe import WORD_BPE, Encoder, encode_rows
-from .common import id_text, slices
+from .bpe import WORD_BPE, Encoder, encode_rows, vocabulary_path
+from .common import id_text, kept, slices
 
 CHUNK = 1 << 16
 
@@ -48,7 +48,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
-        enc, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = kept(Encoder, vocabulary_path(tokenizer)), TaskContext.get().partitionId()
         number, first, held, names, lengths, size, t = 0, 0, [], [], [], 0, None
 
         for whole in batches:
