@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Scratch, id_text, kept, ragged, slices, text_buffer
+from .common import Scratch, id_text, ragged, slices, text_buffer
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SLICE = 16 << 20               # text bytes whose chunks are encoded together
+SLICE = 8 << 20                # text bytes whose chunks are encoded together
 CALL = 1 << 16                 # bytes of chunks joined in one call of the libraries
 LEAD = " a"                    # stands before the chunks of a call
 MARK = "\u2581"                # sentencepiece's space
@@ -208,7 +208,7 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        aligner = kept(Aligner, vocabulary_path(a_file), vocabulary_path(b_file))
+        aligner = Aligner(a_file, b_file)        # not kept by the worker: pass two needs its memory
 
         def rows(m, id_type, **cols):
             return pa.RecordBatch.from_arrays(
