@@ -36,6 +36,7 @@ WIDTH = 200
 HOT = 8192                     # different runs of one anchor in one sort
 CHUNK = 2 << 20                # bytes sorted at once (whole groups)
 PASS = 1 << 19                 # text bytes whose anchors are found at once
+ROWS = 1 << 14                 # windows of salted anchors sent to Spark at once
 SPAN = "array<struct<lo: bigint, hi: bigint>>"
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_FACTOR, -1, 1 << 64))
@@ -91,8 +92,9 @@ def _marked(cut: DataFrame, width: int, chunk: int) -> DataFrame:
     names = ["h", "c", "n", "lo", "hi", "digest", "single"]
 
     def solve(h, c, n, copies, hot, text):
+        h, c, n = (np.array(x, k) for x, k in ((h, np.int64), (c, np.int64), (n, np.int32)))
         size = np.array([len(x) for x in text])
-        begin, n = np.cumsum(size) - size, np.array(n)
+        begin = np.cumsum(size) - size
         t = np.frombuffer(b"".join(text), np.uint8)
         valid = np.zeros(len(t) + 1, np.int64)
         np.add.at(valid, begin, 1)
@@ -102,26 +104,31 @@ def _marked(cut: DataFrame, width: int, chunk: int) -> DataFrame:
         weight = np.bincount(kind, np.array(copies, np.float64)[own])
         twice = np.zeros(len(t) + 1, bool)
         twice[place] = weight[kind] >= 2
-        out = []
+        which, edges = [], []
         for i in np.unique(own[weight[kind] >= 2]).tolist():
             d = np.concatenate([[False], twice[begin[i]:begin[i] + n[i]], [False]])
-            for lo, hi in np.flatnonzero(d[1:] != d[:-1]).reshape(-1, 2).tolist():
-                out.append((h[i], c[i], int(n[i]), lo, hi, None, None))
+            edge = np.flatnonzero(d[1:] != d[:-1]).reshape(-1, 2)
+            which.append(np.full(len(edge), i))
+            edges.append(edge)
+        if which:
+            o, edge = np.concatenate(which), np.concatenate(edges)
+            yield batch(h[o], c[o], n[o], edge[:, 0], edge[:, 1])
         part = np.array(hot)
         if part.any():
-            head = np.append(True, kind[1:] != kind[:-1])
             # all single windows, and one of each class of equal ones for the other parts to find
-            for p, k, o in zip(place, kind, own):
-                if part[o] and (weight[k] < 2 or head[np.searchsorted(kind, k)] and p == place[np.searchsorted(kind, k)]):
-                    digest = hashlib.blake2b(t[p:p + width].tobytes(), digest_size=16).digest()
-                    out.append((h[o], c[o], int(n[o]), int(p - begin[o]), int(p - begin[o]) + 1, digest,
-                                bool(weight[k] < 2)))
-        return out
-
-    def batch(rows):
+            single = weight[kind] < 2
+            wait = np.flatnonzero(part[own] & (single | np.append(True, kind[1:] != kind[:-1])[:len(kind)]))
+            for at in range(0, len(wait), ROWS):               # a salted anchor has a row for nearly every byte
+                w = wait[at:at + ROWS]
+                p, o = place[w], own[w]
+                digest = [hashlib.blake2b(t[x:x + width], digest_size=16).digest() for x in p.tolist()]
+                lo = p - begin[o]
+                yield batch(h[o], c[o], n[o], lo, lo + 1, digest, single[w])
+
+    def batch(h, c, n, lo, hi, digest=None, single=None):
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        cols = list(zip(*rows)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(h), k) if x is None else pa.array(x, k) for x, k in zip(
+            (h, c, n, lo.astype(np.int32), hi.astype(np.int32), digest, single), types)], names=names)
 
     def run(batches):
         held, size, last = [[] for _ in range(6)], 0, None
@@ -129,13 +136,13 @@ def _marked(cut: DataFrame, width: int, chunk: int) -> DataFrame:
             for h, c, n, copies, salt, hot, x in zip(*(b.column(k).to_pylist() for k in (
                     "h", "c", "n", "copies", "salt", "hot", "bytes"))):
                 if size >= chunk and (h, salt) != last:
-                    yield batch(solve(*held))
+                    yield from solve(*held)
                     held, size = [[] for _ in range(6)], 0
                 for k, v in zip(held, (h, c, n, copies, hot, x)):
                     k.append(v)
                 size, last = size + len(x), (h, salt)
         if size:
-            yield batch(solve(*held))
+            yield from solve(*held)
 
     return (cut.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(
         run, "h long, c long, n int, lo int, hi int, digest binary, single boolean"))

@@ -69,6 +69,38 @@ def test_suffix_dedup_hot_passage(spark, tmp_path):
     check_suffix(df, hot=3)
 
 
+def test_suffix_dedup_hot_windows_in_batches(monkeypatch):
+    """The windows of a salted anchor leave a task in small batches, whatever their number."""
+    import pyarrow as pa
+    runs = []
+
+    class Frame:
+        def repartition(self, *keys):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    monkeypatch.setattr(suffix_dedup, "ROWS", 50, raising=False)
+    suffix_dedup._marked(Frame(), 20, 1 << 20)
+    texts = [prose(i, 20).encode()[:60] for i in range(9)] + [b"x" * 30 + prose(0, 20).encode()[:30]]
+    m = len(texts)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([7] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array([len(t) - 19 for t in texts], pa.int32()),
+         pa.array([1] * m, pa.int64()), pa.array([0] * m, pa.int32()), pa.array([True] * m), pa.array(texts, pa.binary())],
+        names=["h", "c", "n", "copies", "salt", "hot", "bytes"])
+    out = list(runs[0](iter([rows])))
+    assert max(b.num_rows for b in out) <= 50
+    got = [r for b in out for r in b.to_pylist() if r["digest"] is not None]
+    seen = Counter(t[i:i + 20] for t in texts for i in range(len(t) - 19))
+    assert len(got) == len(seen) == len({r["digest"] for r in got})
+    assert sum(r["single"] for r in got) == sum(k == 1 for k in seen.values())
+    for r in got:
+        assert r["hi"] == r["lo"] + 1 and r["single"] == (seen[texts[r["c"]][r["lo"]:r["hi"] + 19]] == 1)
+
+
 # ---- 9 Jaccard join ----
 
 def check_join(df, **how):
