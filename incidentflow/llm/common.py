@@ -105,6 +105,13 @@ def kept(make, *files: str):
     return store[kind][1]
 
 
+def released(make) -> None:
+    """Forgets what ``kept`` holds of this kind in a worker."""
+    store = sys.modules.get("_incidentflow_kept")
+    if store is not None:
+        store.__dict__.pop(f"{make.__module__}.{make.__qualname__}", None)
+
+
 def _word_tables(word) -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32

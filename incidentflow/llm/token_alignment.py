@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import Scratch, id_text, ragged, slices, text_buffer
+from .common import Scratch, id_text, kept, ragged, released, slices, text_buffer
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE = 8 << 20                # text bytes whose chunks are encoded together
@@ -208,7 +208,7 @@ def _slice_rows(src: DataFrame, a_file: str, b_file: str, most: int) -> DataFram
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        aligner = Aligner(a_file, b_file)        # not kept by the worker: pass two needs its memory
+        aligner = kept(Aligner, vocabulary_path(a_file), vocabulary_path(b_file))
 
         def rows(m, id_type, **cols):
             return pa.RecordBatch.from_arrays(
@@ -290,6 +290,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def run(batches):
+        released(Aligner)                                      # pass two needs no tokenizers, but their memory
         score = highest = links = best = number = index = None
         ready = False
 

@@ -217,3 +217,29 @@ def test_tokenizers_are_kept_by_a_worker(tmp_path):
     assert kept(make, str(a)) is one and len(made) == 1
     a.write_text("22")                                        # a changed file is loaded again
     assert kept(make, str(a)) is not one and len(made) == 2
+
+
+def test_alignment_loads_its_tokenizers_once_a_worker(spark, monkeypatch):
+    """Pass one keeps them for a worker's later tasks, pass two sets them free."""
+    import pyarrow as pa
+    from incidentflow.llm import token_alignment as TA
+    runs, made = [], []
+
+    class Frame:
+        schema = spark.createDataFrame([], "id long, text string, row long").schema
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    class Counted(TA.Aligner):
+        def __init__(self, *files):
+            made.append(files)
+            super().__init__(*files)
+
+    monkeypatch.setattr(TA, "Aligner", Counted)
+    TA._slice_rows(Frame(), TA.A_FILE, TA.B_FILE, TA.SLICE)
+    rows = pa.RecordBatch.from_pydict({"id": [1], "text": ["two words"], "row": [0]})
+    first, second = (list(runs[0](iter([rows]))) for _ in range(2))
+    assert len(made) == 1 and first == second
+    TA.released(Counted)
+    assert list(runs[0](iter([rows]))) == first and len(made) == 2
